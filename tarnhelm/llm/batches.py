@@ -64,7 +64,7 @@ class _Mapper:
 def map_rows(df: DataFrame, columns: list, make: Callable[[], object], schema: str, most: int = PIECE_BYTES) -> DataFrame:
     """``df``'s ``columns`` through a per-task worker, as rows of ``schema``."""
     schema = as_struct(schema)
-    arrow = to_arrow_schema(schema, timezone="UTC")
+    arrow = to_arrow_schema(schema)
     return df.select(*columns).mapInArrow(_Mapper(make, arrow, most), schema)
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tarnhelm.llm import mixing
+from tarnhelm.llm import mixing, quality_rules
 
 QUERIES = {
     "op6_source_mix": mixing.op6_source_mix,
+    "op8_quality_rules": quality_rules.op8_quality_rules,
 }
 
 ORACLES = {
