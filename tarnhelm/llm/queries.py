@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tarnhelm.llm import mixing, packing, quality_rank, quality_rules, secrets
+from tarnhelm.llm import media, mixing, packing, quality_rank, quality_rules, secrets
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
+    "op2_media_columns": media.op2_media_columns,
     "op5_quality_rank": quality_rank.op5_quality_rank,
     "op6_source_mix": mixing.op6_source_mix,
     "op8_quality_rules": quality_rules.op8_quality_rules,
