@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarnhelm.llm import media, mixing, packing, quality_rank, quality_rules, secrets
+from tarnhelm.llm import media, mixing, near_dedup, packing, quality_rank, quality_rules, secrets
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_quality_rank": quality_rank.op5_quality_rank,
     "op6_source_mix": mixing.op6_source_mix,
     "op8_quality_rules": quality_rules.op8_quality_rules,
+    "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_pack_sequences": packing.op10_pack_sequences,
 }
 
