@@ -18,6 +18,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -28,7 +29,7 @@ WIDTH = 1024
 #: Open windows that a packer holds at most; beyond, it pours them together.
 MOST_OPEN = 2048
 #: Distinct chunks of text whose ids a task remembers.
-MOST_CHUNKS = 400_000
+MOST_CHUNKS = 1_000_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -61,7 +62,7 @@ class Encoder:
         self.size = np.zeros(1 << 16, np.int64)
 
     def _whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int64)
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
 
     def _add(self, chunk: str, ids: np.ndarray) -> None:
         k = len(self.at)
@@ -102,25 +103,25 @@ class Encoder:
         self.at.update(zip(words, range(k, k + n)))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        out: list[np.ndarray] = []
-        for t in texts:
-            if self.UNSURE.search(t) or any(s in t for s in self.special):
+        cut = [None if self.UNSURE.search(t) or any(s in t for s in self.special) else self.CHUNK.findall(t) for t in texts]
+        chunks = list(chain.from_iterable(c for c in cut if c))
+        if new := list(dict.fromkeys(c for c in chunks if c not in self.at)):
+            if len(self.at) + len(new) > MOST_CHUNKS and len(self.at):
+                self._clear()
+                new = list(dict.fromkeys(chunks))
+            self._learn(new)
+        k = np.fromiter(map(self.at.__getitem__, chunks), np.int64, len(chunks))
+        size = self.size[k]
+        ends = np.cumsum(size)
+        ids = self.flat[np.repeat(self.start[k] - (ends - size), size) + np.arange(int(size.sum()))]
+        ends = np.concatenate([[0], ends])
+        out, at = [], 0
+        for t, c in zip(texts, cut):
+            if c is None:
                 out.append(self._whole(t))
                 continue
-            chunks = self.CHUNK.findall(t)
-            if not chunks:
-                out.append(np.empty(0, np.int64))
-                continue
-            if new := [c for c in dict.fromkeys(chunks) if c not in self.at]:
-                if len(self.at) + len(new) > MOST_CHUNKS and len(self.at):
-                    self._clear()
-                    new = list(dict.fromkeys(chunks))
-                self._learn(new)
-            k = np.fromiter(map(self.at.__getitem__, chunks), np.int64, len(chunks))
-            size = self.size[k]
-            total = int(size.sum())
-            step = np.repeat(self.start[k] - (np.cumsum(size) - size), size)
-            out.append(self.flat[step + np.arange(total)])
+            out.append(ids[ends[at] : ends[at + len(c)]])
+            at += len(c)
         return out
 
 
