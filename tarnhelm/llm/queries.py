@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tarnhelm.llm import media, mixing, near_dedup, packing, quality_rank, quality_rules, secrets, substring_dedup
+from tarnhelm.llm import media, mixing, near_dedup, packing, passages, quality_rank, quality_rules, secrets, substring_dedup
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op2_media_columns": media.op2_media_columns,
+    "op3_near_passages": passages.op3_near_passages,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op5_quality_rank": quality_rank.op5_quality_rank,
     "op6_source_mix": mixing.op6_source_mix,
