@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarnhelm.llm import media, mixing, near_dedup, packing, passages, quality_rank, quality_rules, secrets, substring_dedup
+from tarnhelm.llm import media, mixing, near_dedup, packing, passages, pseudo_likelihood, quality_rank, quality_rules, secrets, substring_dedup
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op5_quality_rank": quality_rank.op5_quality_rank,
     "op6_source_mix": mixing.op6_source_mix,
+    "op7_pseudo_likelihood": pseudo_likelihood.op7_pseudo_likelihood,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_pack_sequences": packing.op10_pack_sequences,
