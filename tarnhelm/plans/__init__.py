@@ -6,7 +6,7 @@ import importlib
 from dataclasses import dataclass
 
 #: Modules that register queries when imported.
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("recognize",)
 
 
 @dataclass(frozen=True)
