@@ -90,12 +90,14 @@ def propagate(text: Column, found: Column) -> Column:
     def places(f: Column) -> Column:
         value = F.trim(text.substr(f["start"] + 1, f["end"] - f["start"]))
         n = F.length(value)
-        starts = F.when(
-            (n >= 5) & value.rlike("[\\p{L}\\p{N}]"),
-            F.filter(F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(text) - n)), lambda i: (
-                (text.substr(i + 1, n) == value) & ~text.substr(i, F.when(i > 0, 1).otherwise(0)).rlike(word) & ~text.substr(i + n + 1, F.lit(1)).rlike(word)
-            )),
-        ).otherwise(F.array().cast("array<int>"))
+        # As many places as the value starts at, overlapping ones too; each is located from the one before.
+        many = F.regexp_count(text, F.concat(F.lit("(?=\\Q"), F.replace(value, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)")))
+        none = F.array().cast("array<int>")
+        every = F.aggregate(F.sequence(F.lit(1), many), none, lambda acc, _: F.concat(
+            acc, F.array(F.call_function("locate", value, text, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + 1))
+        ))
+        alone = F.filter(every, lambda i: ~text.substr(i - 1, F.when(i > 1, 1).otherwise(0)).rlike(word) & ~text.substr(i + n, F.lit(1)).rlike(word))
+        starts = F.when((n >= 5) & value.rlike("[\\p{L}\\p{N}]") & (many > 0), F.transform(alone, lambda i: i - 1)).otherwise(none)
         return F.transform(starts, lambda i: F.struct(
             i.cast("int").alias("start"), (i + n).cast("int").alias("end"), f["category"].alias("category"), f["confidence"].alias("confidence"), f["source"].alias("source"),
         ))
