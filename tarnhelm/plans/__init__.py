@@ -6,7 +6,7 @@ import importlib
 from dataclasses import dataclass
 
 #: Modules that register queries when imported.
-MODULES: tuple[str, ...] = ("recognize", "contextual")
+MODULES: tuple[str, ...] = ("recognize", "contextual", "importing", "placing")
 
 
 @dataclass(frozen=True)
