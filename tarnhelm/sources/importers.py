@@ -52,13 +52,14 @@ def document_kind(content: Column, name: Column, media_type: Column) -> tuple[Co
     """(kind, error): leading bytes outrank the extension, the extension outranks the media type."""
     head = F.hex(F.substring(content, 1, 12))
     ext = extension(name)
+    media_type = F.coalesce(media_type, F.lit(""))
     word = (ext == "docx") | (media_type == DOCX_TYPE)
     zipped = head.startswith("504B")
     kind = (
         F.when(head.startswith("255044462D"), "pdf")
         .when(head.startswith("89504E470D0A1A0A") | head.startswith("FFD8FF"), "image")
         .when(word & zipped, "docx")
-        .when(~word & ((ext == "txt") | F.coalesce(media_type, F.lit("")).startswith("text/")), "text")
+        .when(~word & ((ext == "txt") | media_type.startswith("text/")), "text")
     )
     error = F.when(kind.isNotNull(), F.lit(None).cast("string")).when(word, "malformed Word document").otherwise("unsupported document type")
     return kind, error

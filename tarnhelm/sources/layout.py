@@ -8,6 +8,7 @@ from itertools import chain
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PAGE_WIDTH, PAGE_HEIGHT, MARGIN = 612.0, 792.0, 54.0
 
@@ -26,7 +27,7 @@ WIDTHS = {c: w for w, chars in _HELVETICA.items() for c in chars}
 DEFAULT_WIDTH = 556
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Compatibility composition, which no built-in function does."""
     return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
