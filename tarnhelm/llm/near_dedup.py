@@ -10,7 +10,7 @@ Shape of the job: texts with equal words are one node from the start, so copies
 further.  Candidates of a sketch are dealt in chunks of bounded size, another dealing for
 each sketch; within a chunk, nodes that links already connect aren't compared again.  Of
 a hot sketch (more nodes than a chunk holds) each chunk's local classes send a few representatives
-to a next round, until they fit one chunk.  No all-pairs list is ever made.
+to a next round, while that shrinks them, until they fit one chunk.  No all-pairs list is ever made.
 
 Defined results: a null text counts as empty; a document without words is a class of its own;
 repeated rows are copies; a class id is its least doc_id (null only if all are null).
@@ -33,11 +33,20 @@ WORD = re.compile(r"[^\W_]+")
 SHINGLE = 5
 SKETCHES = 16
 TAKE = 2
+#: Sketches that are verified before the others.
+FIRST = 4
 SIMILARITY = 0.85
 #: Nodes that one chunk of candidates holds, about.
 CHUNK = 96
 #: Representatives of a local class that go on to a hot sketch's next round.
 REPRESENTATIVES = 2
+#: Edits up to which alignments go along diagonals.
+FEW = 128
+#: Hash bins of the quick bound on common words.
+BINS = 512
+#: A hot sketch's rounds end when a round leaves more than this share of its nodes: what shares
+#: the sketch is then mostly dissimilar, and similar pairs meet in their other sketches.
+SHRINK = 0.8
 
 _U = np.uint64
 
@@ -107,9 +116,11 @@ def edits_within(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     if not len(a) or not len(b):
         d = len(a) + len(b)
         return d if d <= most else None
-    if max(len(a), len(b)) - _common(a, b) > most:  # words without a counterpart are edits at least
+    if most > 24 and max(len(a), len(b)) - _common(a, b) > most:  # words without a counterpart are edits at least
         return None
-    return _diagonals(a.tolist(), b.tolist(), most) if most <= 96 else _rows(a, b, most)
+    # The first costs the square of the edits there are, whatever the band; beyond FEW the second is cheaper.
+    d = _diagonals(a.tolist(), b.tolist(), min(most, FEW))
+    return _rows(a, b, most) if d is None and most > FEW else d
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -206,26 +217,39 @@ class _Align:
 
     def __call__(self, g: dict) -> dict:
         nodes, key = g["node"], g["key"][0]
-        codes = [np.frombuffer(x, np.uint32).astype(np.int64) for x in g["codes"]]
+        order = sorted(range(len(nodes)), key=nodes.__getitem__)
+        codes = [np.frombuffer(g["codes"][i], np.uint32).astype(np.int64) for i in order]
+        nodes, roots = [nodes[i] for i in order], [g["root"][i] for i in order]
+        # Words by hash bin: what two texts have in common can't exceed the sum of the lesser counts.
+        bins = np.stack([np.bincount(c & (BINS - 1), minlength=BINS) for c in codes]).astype(np.int32)
+        size = np.array([len(c) for c in codes])
         classes: list[list[int]] = []
+        of: list[list[int]] = []
+        linked_before: dict[str, int] = {}
         a, b = [], []
-        for i in sorted(range(len(nodes)), key=nodes.__getitem__):
-            own = None
-            for members in classes[:]:
-                for j in members:
-                    if linked(codes[i], codes[j], self.similarity):
-                        a.append(nodes[i])
-                        b.append(nodes[j])
-                        if own is None:
-                            own = members
-                        else:
-                            own += members
-                            classes.remove(members)
-                        break
+        for i in range(len(nodes)):
+            longest = np.maximum(size[:i], size[i])
+            near = longest - np.minimum(bins[:i], bins[i]).sum(1) <= (longest * (1 - self.similarity) + 1e-9).astype(np.int64)
+            same = linked_before.setdefault(roots[i], i)
+            own = of[same] if same < i else None
+            for j in np.flatnonzero(near).tolist():
+                if of[j] is own or not linked(codes[i], codes[j], self.similarity):
+                    continue
+                a.append(nodes[i])
+                b.append(nodes[j])
+                if own is None:
+                    own = of[j]
+                else:  # joins two classes
+                    other = of[j]
+                    own += other
+                    classes.remove(other)
+                    for k in other:
+                        of[k] = own
             if own is None:
-                classes.append([i])
-            else:
-                own.append(i)
+                own = []
+                classes.append(own)
+            own.append(i)
+            of.append(own)
         keys = [None] * len(a)
         if key is not None:
             for members in classes:
@@ -252,31 +276,43 @@ def _chunks(pairs: DataFrame, chunk: int) -> DataFrame:
     return sets.select(F.xxhash64("key", "nodes").alias("gid"), "key", F.explode("nodes").alias("node"))
 
 
-def links(docs: DataFrame, sketched: DataFrame, similarity: float = SIMILARITY, chunk: int = CHUNK) -> DataFrame:
-    """(a, b): enough verified links between nodes to connect every class."""
-    nodes = sketched.where("node IS NOT NULL").groupBy("node").agg(F.min("rkey").alias("rkey"), F.min("keys").alias("keys"))
-    pairs = nodes.select("node", F.explode("keys").alias("key"))
-    groups = lineage.cut(_chunks(pairs, chunk))
-    wanted = nodes.select("node", "rkey").join(groups.select("node").distinct(), "node")
-    texts = docs.select(row_key(), "text").join(wanted, "rkey").dropDuplicates(["node"])
-    codes = lineage.cut(batches.map_rows(texts, ["node", batches.text_column()], _Codes, "node string, codes binary"))
+def _rounds(groups: DataFrame, codes: DataFrame, roots: DataFrame | None, similarity: float, chunk: int) -> DataFrame:
+    """(a, b): the verified links of the groups, and of their hot sketches' later rounds."""
     found = None
     while True:
-        made = lineage.cut(
-            lineage.map_groups(groups.join(codes, "node").select("gid", "key", "node", "codes"), "gid", lambda: _Align(similarity), "key long, a string, b string")
-        )
+        rooted = groups.withColumn("root", F.col("node")) if roots is None else groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        rows = rooted.join(codes, "node").select("gid", "key", "node", "root", "codes")
+        made = lineage.cut(lineage.map_groups(rows, "gid", lambda: _Align(similarity), "key long, a string, b string"))
         new = made.where("b IS NOT NULL").select("a", "b")
         found = new if found is None else found.union(new)
         again = made.where("b IS NULL").select("key", F.col("a").alias("node")).distinct()
-        # A key whose representatives are no fewer than its nodes were, or fit one chunk, is through after this round.
-        more = again.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        if more.isEmpty():
-            return found
-        sizes = groups.where("key IS NOT NULL").groupBy("key").agg(F.countDistinct("gid").alias("parts"))
-        going = more.join(sizes, "key").where("parts > 1").select("key")
-        groups = lineage.cut(_chunks(again.join(going, "key"), chunk).select("gid", "key", "node"))
-        if groups.isEmpty():
+        # A key goes on while its classes shrink it; those that fit one chunk had no representatives.
+        more = again.groupBy("key").agg(F.count(F.lit(1)).alias("left")).where("left > 1")
+        sizes = groups.where("key IS NOT NULL").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        going = lineage.cut(more.join(sizes, "key").where(F.col("left") < F.col("n") * SHRINK).select("key"))
+        if going.isEmpty():
             return found
+        groups = lineage.cut(_chunks(again.join(going, "key"), chunk))
+
+
+def links(docs: DataFrame, sketched: DataFrame, similarity: float = SIMILARITY, chunk: int = CHUNK) -> DataFrame:
+    """(a, b): enough verified links between nodes to connect every class.
+
+    The first FIRST sketches link most of what there is.  Of the others only the groups whose nodes
+    aren't all connected yet are gathered, and in them only nodes that aren't are compared.
+    """
+    nodes = sketched.where("node IS NOT NULL").groupBy("node").agg(F.min("rkey").alias("rkey"), F.min("keys").alias("keys"))
+    pairs = nodes.select("node", F.posexplode("keys").alias("i", "key"))
+    first = lineage.cut(_chunks(pairs.where(F.col("i") < FIRST).select("node", "key"), chunk))
+    rest = lineage.cut(_chunks(pairs.where(F.col("i") >= FIRST).select("node", "key"), chunk))
+    wanted = nodes.select("node", "rkey").join(first.select("node").union(rest.select("node")).distinct(), "node")
+    texts = docs.select(row_key(), "text").join(wanted, "rkey").dropDuplicates(["rkey"])
+    codes = lineage.cut(batches.map_rows(texts, ["node", batches.text_column()], _Codes, "node string, codes binary"))
+    found = _rounds(first, codes, None, similarity, chunk)
+    roots = components(found)
+    root = F.coalesce("root", "node")
+    open_ = rest.join(roots, "node", "left").groupBy("gid").agg(F.min(root).alias("low"), F.max(root).alias("high")).where("low < high").select("gid")
+    return found.union(_rounds(rest.join(open_, "gid").select("gid", "key", "node"), codes, roots, similarity, chunk))
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, chunk: int = CHUNK) -> DataFrame:
