@@ -31,22 +31,26 @@ def chunks(text: Column, size: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS)
     start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("done"), F.array().cast(kind).alias("out"))
 
     def step(a: Column, _: Column) -> Column:
-        hard = F.least(n, a["at"] + size)
-        # The last line or word end at or before the hard end, as an index from 0.
-        window = text.substr(a["at"] + 1, hard - a["at"] + 1)
-        back = F.reverse(window)
-        line, space = _last(window, back, "\n"), _last(window, back, " ")
-        soft = a["at"] + F.greatest(line, space)
-        end = F.when((hard < n) & (soft > a["at"] + size // 2), soft).otherwise(hard)
-        piece = F.struct(a["at"].cast("int").alias("offset"), text.substr(a["at"] + 1, end - a["at"]).alias("text"))
-        nxt = F.greatest(a["at"] + 1, end - overlap)
-        new = F.struct(nxt.cast("int").alias("at"), (end >= n).alias("done"), F.concat(a["out"], F.array(piece)).alias("out"))
-        return F.when(a["done"], a).otherwise(new)
+        def cut(w: Column) -> Column:
+            """``w``: what is left of the text, one character more than a chunk holds at most."""
+            soft = let(F.reverse(w), lambda back: F.greatest(_last(w, back, "\n"), _last(w, back, " ")))
+            end = let(soft, lambda e: F.when((F.length(w) > size) & (e > size // 2), e).otherwise(F.least(F.length(w), F.lit(size))))
+            return let(end, lambda e: F.struct(
+                F.greatest(a["at"] + 1, a["at"] + e - overlap).cast("int").alias("at"), (F.length(w) <= size).alias("done"),
+                F.concat(a["out"], F.array(F.struct(a["at"].cast("int").alias("offset"), w.substr(F.lit(1), e).alias("text")))).alias("out"),
+            ))
+
+        return F.when(a["done"], a).otherwise(let(text.substr(a["at"] + 1, F.lit(size + 1)), cut))
 
     most = F.ceil(n / (size // 2 - overlap + 1)).cast("int") + 1
     return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), most), start, step, lambda a: a["out"])).otherwise(F.array().cast(kind))
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _last(window: Column, back: Column, ch: str) -> Column:
     """The last place of a character, from 0; -1 without one."""
     at = F.instr(back, ch)

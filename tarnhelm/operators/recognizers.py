@@ -27,12 +27,15 @@ STATES = (
 FINDING = "array<struct<start:int,ord:int,end:int,category:string,confidence:double,source:string,value:string>>"
 
 _B, _BI = edge(), edge(WORD_I)
+#: The same before and after a word character, where half of the test is enough.
+_BEFORE, _AFTER = f"(?<![{WORD_I}])", f"(?![{WORD_I}])"
 _SEP = f"[{WS_CHARS}.-]"
 _PHONE_SEP = f"[{WS_CHARS}().-]"
 _CITY = "[A-Z][A-Z.'-]{1,20}"
 _ACCOUNT = (
-    f"{_BI}{any_of(['account', 'acct', 'routing'])}{WS}*(?:{any_case('number')}|{any_case('no')}\\.?|#)?{WS}*[:#-]?{WS}*([0-9][0-9 -]{{3,20}}[0-9]){_BI}"
+    f"{_BEFORE}{any_of(['account', 'acct', 'routing'])}{WS}*(?:{any_case('number')}|{any_case('no')}\\.?|#)?{WS}*[:#-]?{WS}*([0-9][0-9 -]{{3,20}}[0-9]){_AFTER}"
 )
+_UNIT = f"{_BEFORE}{any_of(['APT', 'APARTMENT', 'UNIT', 'SUITE', 'STE'])}{WS}+[#{LETTER_I}0-9-]{{1,10}}{_BI}"
 
 
 @dataclass(frozen=True)
@@ -49,7 +52,7 @@ class Recognizer:
 
 
 RECOGNIZERS: dict[str, Recognizer] = {
-    "account": Recognizer("ACCOUNT_NUMBER", 0.96, _ACCOUNT, lambda v: checks.digit_count_between(v, 4, 17), "(?iu)acct|account|routing", 1),
+    "account": Recognizer("ACCOUNT_NUMBER", 0.96, _ACCOUNT, lambda v: checks.digit_count_between(v, 4, 17), _ACCOUNT, 1),
     "email": Recognizer("EMAIL_ADDRESS", 0.99, f"{_BI}[{LETTER_I}0-9._%+-]+@[{LETTER_I}0-9.-]+\\.[{LETTER_I}]{{2,}}{_BI}", needs="@"),
     "ssn": Recognizer("US_SSN", 0.99, f"{_B}[0-9]{{3}}[- ]?[0-9]{{2}}[- ]?[0-9]{{4}}{_B}", checks.ssn_valid, "[0-9]{4}"),
     "ssn_masked": Recognizer("US_SSN", 0.96, f"{_BI}(?:[Xx]{{2,3}}|\\*{{2,3}})[- ]?(?:[Xx]{{2}}|\\*{{2}})[- ]?[0-9]{{3,4}}{_BI}", needs="[Xx*]{2}[- ]?[0-9]{3}"),
@@ -57,7 +60,7 @@ RECOGNIZERS: dict[str, Recognizer] = {
     "street": Recognizer(
         "STREET_ADDRESS", 0.97, f"{_BI}[0-9]{{1,6}}{WS}+(?:[{LETTER_I}0-9][{LETTER_I}0-9.'-]*{WS}+){{1,5}}{any_of(STREET_SUFFIXES)}{_BI}", needs="[0-9]",
     ),
-    "unit": Recognizer("ADDRESS_UNIT", 0.96, f"{_BI}{any_of(['APT', 'APARTMENT', 'UNIT', 'SUITE', 'STE'])}{WS}+[#{LETTER_I}0-9-]{{1,10}}{_BI}", needs="(?iu)apt|apart|unit|suite|ste"),
+    "unit": Recognizer("ADDRESS_UNIT", 0.96, _UNIT, needs=_UNIT),
     "city": Recognizer(
         "CITY_STATE_ZIP", 0.97, f"{_B}{_CITY}(?:{WS}+{_CITY}){{0,2}},?{WS}+{any_of(STATES, False)}{WS}+[0-9]{{5}}(?:-[0-9]{{4}})?{_B}", needs=f"[A-Z]{{2}}{WS}+[0-9]{{5}}",
     ),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tarnhelm.operators import contextual as C
 from tarnhelm.operators import spans as S
 from tarnhelm.plans.made import made
-from tarnhelm.plans.registry import query, table
+from tarnhelm.plans.registry import query, spread, table
 
 #: Made findings: overlapping spans of three categories and two sources on the orders' keys.
 FINDINGS = """
@@ -68,7 +68,7 @@ k AS (SELECT doc_id, text, n, 0 AS i, 0 AS o FROM d UNION ALL
 SELECT doc_id, i::INT AS chunk_idx, o::INT AS "offset", CASE WHEN h < n AND soft > o + 210 THEN soft ELSE h END::INT - o::INT AS n_chars FROM (
   SELECT *, o + length(regexp_extract(substr(text, o + 1, h - o + 1), '(?s)^(.*)[ \n]', 1)) AS soft FROM (SELECT *, least(n, o + 420) AS h FROM k))""")
 def text_chunks(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     c = docs.select("doc_id", F.posexplode(C.chunks(F.col("text"))).alias("chunk_idx", "c"))
     return c.select("doc_id", "chunk_idx", "c.offset", F.length("c.text").alias("n_chars"))
 
@@ -120,7 +120,7 @@ WHERE substr(text, p, length(v)) = v AND NOT regexp_matches(CASE WHEN p = 1 THEN
 UNION SELECT doc_id, strpos(text, v)::INT - 1, strpos(text, v)::INT - 1 + length(v)::INT FROM d""")
 def propagate_repeats(spark, sf_dir):
     """Each document's first run of five or more ASCII letters, found wherever it stands alone."""
-    docs = table(spark, sf_dir, "documents").where(F.col("text").rlike("[A-Za-z]{5,}"))
+    docs = spread(table(spark, sf_dir, "documents")).where(F.col("text").rlike("[A-Za-z]{5,}"))
     v = F.regexp_extract("text", "[A-Za-z]{5,}", 0)
     first = F.struct((F.instr("text", v) - 1).alias("start"), (F.instr("text", v) - 1 + F.length(v)).alias("end"), F.lit("PERSON").alias("category"), F.lit(0.9).alias("confidence"), F.lit("model").alias("source"))
     return docs.select("doc_id", F.explode(S.propagate(F.col("text"), F.array(first))).alias("f")).select("doc_id", "f.start", "f.end")
@@ -129,7 +129,7 @@ def propagate_repeats(spark, sf_dir):
 @query("degraded_scan", "SELECT doc_id, false AS model_available, 'no classifier' AS model_error, 0::BIGINT AS n_model FROM documents")
 def degraded_scan(spark, sf_dir):
     """A scan without a classifier: no model findings, and the status says why."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     found = C.classify(docs, None).groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"))
     return C.model_status(docs, False, "no classifier").join(found, "doc_id", "left").select("doc_id", "model_available", "model_error", F.coalesce("k", F.lit(0)).cast("long").alias("n_model"))
 
@@ -139,7 +139,7 @@ def gazetteer_scan(spark, sf_dir):
     """A scan with an injected classifier (a word list), structured findings beside it, merged."""
     from tarnhelm.operators import recognizers as R
 
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     model = C.classify(docs, lambda: gazetteer).withColumn("ord", F.lit(99))
     both = R.scan(docs, "doc_id").select("doc_id", "start", "end", "category", "confidence", "source", "ord").unionByName(model)
     return S.suppress(S.coalesce(both, "doc_id"), "doc_id")

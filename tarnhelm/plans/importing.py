@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarnhelm.plans.made import made
-from tarnhelm.plans.registry import query, table
+from tarnhelm.plans.registry import query, spread, table
 from tarnhelm.sources import importers as I
 from tarnhelm.sources import layout as L
 
@@ -44,7 +44,7 @@ def import_dispatch(spark, sf_dir):
 
 @query("file_extension", r"SELECT page_id, regexp_extract(lower(url), '\.([a-z0-9]+)$', 1) AS extension FROM pages")
 def file_extension(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", I.extension(F.col("url")).alias("extension"))
+    return spread(table(spark, sf_dir, "pages")).select("page_id", I.extension(F.col("url")).alias("extension"))
 
 
 @query("drop_choice", f"""SELECT batch, name FROM (SELECT batch, name, row_number() OVER (PARTITION BY batch ORDER BY ({_EXT} IN ('pdf', 'docx', 'txt', 'png', 'jpg', 'jpeg')) DESC, file_id) AS n FROM ({FILES})) WHERE n = 1""")
@@ -61,7 +61,7 @@ def output_names(spark, sf_dir):
 @query("size_labels", """SELECT doc_id, CASE WHEN n < 1048576 THEN concat(CAST(CAST(ceil(n / 1024.0) AS BIGINT) AS VARCHAR), ' KB') ELSE concat(format('{:.1f}', floor(n::DOUBLE / 1048576 * 10 + 0.5) / 10), ' MB') END AS label
   FROM (SELECT doc_id, n_chars * 4096 AS n FROM documents)""")
 def size_labels(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", I.size_label(F.col("n_chars") * 4096).alias("label"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", I.size_label(F.col("n_chars") * 4096).alias("label"))
 
 
 _TRIM = r"regexp_replace(line, '^[\s\x0B\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+|[\s\x0B\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+$', '', 'g')"
@@ -73,14 +73,14 @@ b AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY pi, li) -
 
 @query("text_blocks", f"WITH {_BLOCKS} SELECT doc_id, block_idx, CASE WHEN text = '' THEN 'space' ELSE 'body' END AS kind, md5(text) AS text_md5 FROM b")
 def text_blocks(spark, sf_dir):
-    b = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(I.text_blocks(F.col("text"))).alias("block_idx", "b"))
+    b = spread(table(spark, sf_dir, "documents")).select("doc_id", F.posexplode(I.text_blocks(F.col("text"))).alias("block_idx", "b"))
     return b.select("doc_id", "block_idx", "b.kind", F.md5("b.text").alias("text_md5"))
 
 
 @query("import_limits", r"SELECT doc_id, CASE WHEN trim(regexp_replace(text, '[\n\r\t]', '', 'g')) = '' THEN 'empty' WHEN length(text) > 20000 THEN 'too long' END AS rejected FROM documents")
 def import_limits(spark, sf_dir):
     """The gate with a lower bound, so that some texts are rejected."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     gate = F.when(I.js_trim(F.col("text")) == "", "empty").when(F.length("text") > 20000, "too long")
     return d.select("doc_id", gate.alias("rejected"))
 
@@ -90,17 +90,17 @@ _CLEAN = "trim(regexp_replace(replace(replace(replace(replace(replace(regexp_rep
 
 @query("html_headings", f"SELECT page_id, {_CLEAN.format('h')} AS heading FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<h1>(.*?)</h1>', 1)) AS h FROM pages) WHERE {_CLEAN.format('h')} <> ''")
 def html_headings(spark, sf_dir):
-    return I.html_blocks(table(spark, sf_dir, "pages"), "page_id", "html").where("kind = 'title'").select("page_id", F.col("text").alias("heading"))
+    return I.html_blocks(spread(table(spark, sf_dir, "pages")), "page_id", "html").where("kind = 'title'").select("page_id", F.col("text").alias("heading"))
 
 
 @query("html_list_items", f"SELECT page_id, {_CLEAN.format('h')} AS item FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<li>(.*?)</li>', 1)) AS h FROM pages) WHERE {_CLEAN.format('h')} <> ''")
 def html_list_items(spark, sf_dir):
-    return I.html_blocks(table(spark, sf_dir, "pages"), "page_id", "html").where("kind = 'list'").select("page_id", F.col("text").alias("item"))
+    return I.html_blocks(spread(table(spark, sf_dir, "pages")), "page_id", "html").where("kind = 'list'").select("page_id", F.col("text").alias("item"))
 
 
 @query("html_blocks")
 def html_blocks(spark, sf_dir):
-    return I.html_blocks(table(spark, sf_dir, "pages"), "page_id", "html")
+    return I.html_blocks(spread(table(spark, sf_dir, "pages")), "page_id", "html")
 
 
 _TREE = """
@@ -147,7 +147,7 @@ def image_fit(spark, sf_dir):
 @query("encodeable_text", r"""SELECT doc_id, md5(regexp_replace(replace(replace(translate(text, '‐‑‒–—―‘’‚‛“”„‟•◦▪' || chr(160), '------' || repeat(chr(39), 4) || repeat(chr(34), 4) || '*** '), '…', '...'), chr(9), '    '),
   '[^\x20-\x7E\x{00A1}-\x{00FF}]', '?', 'g')) AS plain_md5 FROM documents""")
 def encodeable_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(L.encodable(F.col("text"), compose=False)).alias("plain_md5"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.md5(L.encodable(F.col("text"), compose=False)).alias("plain_md5"))
 
 
 _LINES = "SELECT CAST(c_custkey AS BIGINT) AS id, concat('aa ', c_name, ' ', repeat('w', CAST(c_custkey % 37 AS INT)), ' ', c_mktsegment, ' b ', c_name) AS text FROM customer"
@@ -184,7 +184,7 @@ def asset_integrity(spark, sf_dir):
     """Files against a manifest of their hashes: every listed one is there and unchanged, or is told."""
     from tarnhelm.operators.validation import integrity
 
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     manifest = d.select("doc_id", F.when(F.col("doc_id") % 10 == 3, "changed").otherwise(F.sha2(F.encode("text", "UTF-8"), 256)).alias("sha256"))
     found = d.where("doc_id % 7 <> 1").select("doc_id", F.encode("text", "UTF-8").alias("content"))
     return integrity(manifest, found, "doc_id")
@@ -193,4 +193,4 @@ def asset_integrity(spark, sf_dir):
 @query("source_lint", r"SELECT page_id, regexp_matches(html, '(?i)https?://') AS has_url, regexp_matches(html, '<script') AS has_script FROM pages")
 def source_lint(spark, sf_dir):
     """Regex predicates over whole source texts."""
-    return table(spark, sf_dir, "pages").select("page_id", F.col("html").rlike("(?i)https?://").alias("has_url"), F.col("html").rlike("<script").alias("has_script"))
+    return spread(table(spark, sf_dir, "pages")).select("page_id", F.col("html").rlike("(?i)https?://").alias("has_url"), F.col("html").rlike("<script").alias("has_script"))

@@ -8,7 +8,7 @@ from tarnhelm.functions import checks
 from tarnhelm.operators import recognizers as R
 from tarnhelm.operators import spans as S
 from tarnhelm.plans.made import PII_TEXT, pii_text
-from tarnhelm.plans.registry import query, table
+from tarnhelm.plans.registry import query, spread, table
 
 #: Fixed values in the SQL's own spelling (its engine's regex dialect, whose word edges are ASCII).
 _STREET = "STREET|ST|AVENUE|AVE|ROAD|RD|BOULEVARD|BLVD|LANE|LN|DRIVE|DR|COURT|CT|PLACE|PL|PARKWAY|PKWY|HIGHWAY|HWY"
@@ -80,7 +80,7 @@ def _register(name: str, recognizer: str, source: str, sql: str, raw: bool = Fal
         if source == "made":
             return _spans(pii_text(spark, sf_dir), "doc_id", "text", recognizer, raw)
         key, text = {"documents": ("doc_id", "text"), "pages": ("page_id", "html")}[source]
-        return _spans(table(spark, sf_dir, source), key, text, recognizer, raw)
+        return _spans(spread(table(spark, sf_dir, source)), key, text, recognizer, raw)
 
     query(name, sql)(run)
 
@@ -133,7 +133,7 @@ def iban_length_dim(spark, sf_dir):
 
 @query("email_counts_by_lang", f"""SELECT lang, count(*) AS n FROM ({spans_sql(DOCS, SQL_PATTERNS["email"])}) JOIN documents USING (doc_id) GROUP BY lang""")
 def email_counts_by_lang(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return docs.select("lang", F.size(R.findings_of(F.col("text"), "email")).alias("k")).where("k > 0").groupBy("lang").agg(F.sum("k").alias("n"))
 
 
@@ -191,7 +191,7 @@ def structured_findings(spark, sf_dir):
 
 @query("structured_counts_documents", f"""WITH {LENGTHS_CTE} SELECT category, count(*) AS n FROM ({structured_sql(DOCS)}) GROUP BY category""")
 def structured_counts_documents(spark, sf_dir):
-    return R.scan(table(spark, sf_dir, "documents"), "doc_id").groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    return R.scan(spread(table(spark, sf_dir, "documents")), "doc_id").groupBy("category").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("detect_pii", f"""WITH RECURSIVE {LENGTHS_CTE}, found AS ({structured_sql(PII_TEXT)}), {MERGE}
@@ -207,12 +207,12 @@ SELECT f.category AS category, count(*) AS n FROM final GROUP BY f.category""")
 def detect_counts(spark, sf_dir):
     """The flagship scan: all recognisers over all documents, merged, by category."""
     merged = S.merge_array(R.structured(F.col("text")))
-    return table(spark, sf_dir, "documents").select(F.explode(merged).alias("f")).groupBy("f.category").agg(F.count(F.lit(1)).alias("n"))
+    return spread(table(spark, sf_dir, "documents")).select(F.explode(merged).alias("f")).groupBy("f.category").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("redact_email_text", f"""SELECT doc_id, md5(regexp_replace(text, '{SQL_PATTERNS["email"]}', 'REDACTED', 'g')) AS redacted_md5 FROM documents WHERE text LIKE '%@%'""")
 def redact_email_text(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("text LIKE '%@%'")
+    docs = spread(table(spark, sf_dir, "documents")).where("text LIKE '%@%'")
     return docs.select("doc_id", F.md5(S.redact(F.col("text"), R.findings_of(F.col("text"), "email"))).alias("redacted_md5"))
 
 
@@ -224,7 +224,7 @@ x AS (SELECT doc_id, min(s) AS s, max(e) AS e FROM i GROUP BY doc_id, isl)
 SELECT lang, count(DISTINCT doc_id) AS n_docs, count(*) AS n_spans, sum(e - s)::BIGINT AS n_chars_removed FROM x JOIN documents USING (doc_id) GROUP BY lang""")
 def redacted_stats(spark, sf_dir):
     """What redaction removes, by language."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     spans = docs.select("lang", S.union_spans(S.merge_array(R.structured(F.col("text")))).alias("u"))
     removed = F.aggregate("u", F.lit(0).cast("long"), lambda a, s: a + (s["end"] - s["start"]))
     # The generator keeps the filter from being pushed into the projection, where the scan would run twice.
