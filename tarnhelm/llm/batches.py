@@ -30,8 +30,7 @@ def pieces(batch: pa.RecordBatch, most: int = PIECE_BYTES) -> Iterator[pa.Record
     n = batch.num_rows
     if n == 0:
         return
-    per_row = max(1, batch.get_total_buffer_size() // n) if batch.nbytes is None else max(1, batch.nbytes // n)
-    step = max(1, most // per_row)
+    step = max(1, most * n // max(1, batch.nbytes))
     for at in range(0, n, step):
         yield batch.slice(at, step)
 
