@@ -29,7 +29,9 @@ WIDTH = 1024
 #: Open windows that a packer holds at most; beyond, it pours them together.
 MOST_OPEN = 2048
 #: Distinct chunks of text whose ids a task remembers.
-MOST_CHUNKS = 1_000_000
+MOST_CHUNKS = 600_000
+#: Bytes of text encoded at once.
+PIECE = 1 << 20
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -244,7 +246,7 @@ class _Pack:
 
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, width: int = WIDTH) -> DataFrame:
     """One row per piece; see the module's docstring."""
-    return batches.map_rows(docs, ["doc_id", batches.text_column()], lambda: _Pack(tokenizer_path, end_id, width), SCHEMA)
+    return batches.map_rows(docs, ["doc_id", batches.text_column()], lambda: _Pack(tokenizer_path, end_id, width), SCHEMA, PIECE)
 
 
 def default_tokenizer() -> str:
