@@ -38,6 +38,8 @@ STRIDE = 8
 ROUNDS = 2
 BATCH = 2048
 SLOTS = 16
+#: Words whose symbols a task remembers.
+MOST_KNOWN = 200_000
 SYMBOLS = FREQUENT + BUCKETS
 CLASSES = SYMBOLS // CLASS
 PAD = SYMBOLS
@@ -53,10 +55,17 @@ class Vocabulary:
         return FREQUENT + zlib.crc32(word.encode()) % BUCKETS
 
     def ids(self, words: list[str]) -> np.ndarray:
-        """Symbols, with REACH pads to either side."""
-        get, bucket = self.at.get, self.bucket
+        """Symbols, with REACH pads to either side; a task remembers the buckets of words it has met."""
+        known = self.__dict__.setdefault("known", dict(self.at))
+        got = list(map(known.get, words))
+        if None in got:
+            for i, k in enumerate(got):
+                if k is None:
+                    got[i] = self.bucket(words[i])
+                    if len(known) < MOST_KNOWN:
+                        known[words[i]] = got[i]
         out = np.full(len(words) + 2 * REACH, PAD, np.int64)
-        out[REACH : REACH + len(words)] = [bucket(w) if (k := get(w)) is None else k for w in words]
+        out[REACH : REACH + len(words)] = got
         return out
 
 
@@ -131,23 +140,26 @@ class Trainer:
         rows = np.arange(n)
         pc = _soft(h @ net.c.T + net.cb)
         pc[rows, cls] -= 1
-        own = net.o[cls]
-        po = _soft(np.einsum("nkd,nd->nk", own, h) + net.ob[cls])
-        po[rows, member] -= 1
         pc /= n
-        po /= n
-        dh = (pc @ net.c + np.einsum("nk,nkd->nd", po, own)) * (1 - h * h)
+        dh = pc @ net.c
         order = np.argsort(cls, kind="stable")
         edge = np.searchsorted(cls[order], np.arange(CLASSES + 1))
         do, dob = np.zeros_like(net.o), np.zeros_like(net.ob)
-        for k in range(CLASSES):
+        for k in range(CLASSES):  # one product a class, no copy of its matrix for each word
             r = order[edge[k] : edge[k + 1]]
             if len(r):
-                do[k], dob[k] = po[r].T @ h[r], po[r].sum(0)
-        de, da = np.zeros_like(net.e), np.zeros_like(net.a)
-        for i in range(2 * REACH):
-            np.add.at(de, context[:, i], dh * net.a[i])
-            da[i] = (dh * net.e[context[:, i]]).sum(0)
+                po = _soft(h[r] @ net.o[k].T + net.ob[k])
+                po[np.arange(len(r)), member[r]] -= 1
+                po /= n
+                dh[r] += po @ net.o[k]
+                do[k], dob[k] = po.T @ h[r], po.sum(0)
+        dh *= 1 - h * h
+        de, da = np.zeros_like(net.e), np.stack([(dh * net.e[context[:, i]]).sum(0) for i in range(2 * REACH)])
+        flat = context.T.ravel()
+        order = np.argsort(flat, kind="stable")
+        first = np.concatenate([[0], np.flatnonzero(np.diff(flat[order])) + 1])
+        each = np.concatenate([dh * net.a[i] for i in range(2 * REACH)])
+        de[flat[order[first]]] = np.add.reduceat(each[order], first)
         for name, g in (("e", de), ("a", da), ("b", dh.sum(0)), ("c", pc.T @ h), ("cb", pc.sum(0)), ("o", do), ("ob", dob)):
             s, p = self.sums[name], getattr(net, name)
             s += g * g
