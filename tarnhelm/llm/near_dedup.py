@@ -7,10 +7,9 @@ Documents that share a sketch are aligned word by word within a band; two are li
 1 - edits / words of the longer one is SIMILARITY or more.  A class is what links connect.
 
 Shape of the job: texts with equal words are one node from the start, so copies cost nothing
-further.  Candidates of a sketch are dealt in chunks of bounded size, another dealing for
-each sketch; within a chunk, nodes that links already connect aren't compared again.  Of
-a hot sketch (more nodes than a chunk holds) each chunk's local classes send a few representatives
-to a next round, while that shrinks them, until they fit one chunk.  No all-pairs list is ever made.
+further.  A sketch of few nodes is one group.  Of a hot sketch (more nodes than CHUNK) chunks are aligned
+first, and then, block against block, every pair of its nodes that links don't connect yet, but
+for pairs whose lengths alone rule them out.  A group holds two blocks, so no list of pairs is ever made.
 
 Defined results: a null text counts as empty; a document without words is a class of its own;
 repeated rows are copies; a class id is its least doc_id (null only if all are null).
@@ -38,15 +37,12 @@ FIRST = 4
 SIMILARITY = 0.85
 #: Nodes that one chunk of candidates holds, about.
 CHUNK = 96
-#: Representatives of a local class that go on to a hot sketch's next round.
-REPRESENTATIVES = 2
+#: Nodes of a block of a hot sketch, about.
+BLOCK = 192
 #: Edits up to which alignments go along diagonals.
 FEW = 128
 #: Hash bins of the quick bound on common words.
 BINS = 512
-#: A hot sketch's rounds end when a round leaves more than this share of its nodes: what shares
-#: the sketch is then mostly dissimilar, and similar pairs meet in their other sketches.
-SHRINK = 0.8
 
 _U = np.uint64
 
@@ -191,9 +187,10 @@ def linked(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool
 
 class _Sketch:
     def __call__(self, c: dict) -> dict:
-        out: dict[str, list] = {"rkey": c["rkey"], "doc_id": c["doc_id"], "node": [], "keys": []}
+        out: dict[str, list] = {"rkey": c["rkey"], "doc_id": c["doc_id"], "node": [], "n_words": [], "keys": []}
         for t in c["text"]:
             words = words_of(t)
+            out["n_words"].append(len(words))
             if not words:
                 out["node"].append(None)
                 out["keys"].append([])
@@ -210,54 +207,36 @@ class _Codes:
 
 
 class _Align:
-    """Local classes of one chunk: links, and representatives where the sketch is hot."""
+    """Links that connect the classes of one group: of all its nodes, or of its two sides."""
 
     def __init__(self, similarity: float):
         self.similarity = similarity
 
     def __call__(self, g: dict) -> dict:
-        nodes, key = g["node"], g["key"][0]
-        order = sorted(range(len(nodes)), key=nodes.__getitem__)
+        order = sorted(range(len(g["node"])), key=g["node"].__getitem__)
+        nodes = [g["node"][i] for i in order]
+        side = np.array([g["side"][i] for i in order])
+        of = np.unique([g["root"][i] for i in order], return_inverse=True)[1]  # the class of each node
+        a, b = [], []
+        if (of == of[0]).all():
+            return {"a": a, "b": b}
         codes = [np.frombuffer(g["codes"][i], np.uint32).astype(np.int64) for i in order]
-        nodes, roots = [nodes[i] for i in order], [g["root"][i] for i in order]
         # Words by hash bin: what two texts have in common can't exceed the sum of the lesser counts.
-        bins = np.stack([np.bincount(c & (BINS - 1), minlength=BINS) for c in codes]).astype(np.int32)
+        bins = np.stack([np.bincount(c & (BINS - 1), minlength=BINS) for c in codes]).astype(np.uint16)
         size = np.array([len(c) for c in codes])
-        classes: list[list[int]] = []
-        of: list[list[int]] = []
-        linked_before: dict[str, int] = {}
-        a, b = [], []
-        for i in range(len(nodes)):
+        for i in range(1, len(nodes)):
             longest = np.maximum(size[:i], size[i])
-            near = longest - np.minimum(bins[:i], bins[i]).sum(1) <= (longest * (1 - self.similarity) + 1e-9).astype(np.int64)
-            same = linked_before.setdefault(roots[i], i)
-            own = of[same] if same < i else None
-            for j in np.flatnonzero(near).tolist():
-                if of[j] is own or not linked(codes[i], codes[j], self.similarity):
-                    continue
-                a.append(nodes[i])
-                b.append(nodes[j])
-                if own is None:
-                    own = of[j]
-                else:  # joins two classes
-                    other = of[j]
-                    own += other
-                    classes.remove(other)
-                    for k in other:
-                        of[k] = own
-            if own is None:
-                own = []
-                classes.append(own)
-            own.append(i)
-            of.append(own)
-        keys = [None] * len(a)
-        if key is not None:
-            for members in classes:
-                for j in dict.fromkeys([members[0], *members[1 - REPRESENTATIVES :]][:REPRESENTATIVES]):
-                    a.append(nodes[j])
-                    b.append(None)
-                    keys.append(key)
-        return {"key": keys, "a": a, "b": b}
+            most = (longest * (1 - self.similarity) + 1e-9).astype(np.int64)
+            at = np.flatnonzero((of[:i] != of[i]) & ((side[:i] != side[i]) | (side[i] < 0)) & (np.abs(size[:i] - size[i]) <= most))
+            if not len(at):
+                continue
+            at = at[longest[at] - np.minimum(bins[at], bins[i]).sum(1, dtype=np.int64) <= most[at]]
+            for j in at.tolist():
+                if of[j] != of[i] and linked(codes[i], codes[j], self.similarity):
+                    a.append(nodes[i])
+                    b.append(nodes[j])
+                    of[of == of[j]] = of[i]
+        return {"a": a, "b": b}
 
 
 def row_key():
@@ -267,52 +246,69 @@ def row_key():
 
 
 def _chunks(pairs: DataFrame, chunk: int) -> DataFrame:
-    """(gid, key, node): chunks of the nodes of a key; equal sets of nodes are one chunk, except in hot keys."""
-    counts = pairs.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    dealt = pairs.join(counts, "key").withColumn("hot", F.col("n") > chunk)
-    part = F.when(F.col("hot"), F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("n") / chunk))).otherwise(F.lit(0)).alias("part")
-    sets = dealt.groupBy("key", part, "hot").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
-    sets = sets.select(F.when(F.col("hot"), F.col("key")).alias("key"), "nodes").where("key IS NOT NULL OR size(nodes) > 1").distinct()
-    return sets.select(F.xxhash64("key", "nodes").alias("gid"), "key", F.explode("nodes").alias("node"))
-
-
-def _rounds(groups: DataFrame, codes: DataFrame, roots: DataFrame | None, similarity: float, chunk: int) -> DataFrame:
-    """(a, b): the verified links of the groups, and of their hot sketches' later rounds."""
-    found = None
-    while True:
-        rooted = groups.withColumn("root", F.col("node")) if roots is None else groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        rows = rooted.join(codes, "node").select("gid", "key", "node", "root", "codes")
-        made = lineage.cut(lineage.map_groups(rows, "gid", lambda: _Align(similarity), "key long, a string, b string"))
-        new = made.where("b IS NOT NULL").select("a", "b")
-        found = new if found is None else found.union(new)
-        again = made.where("b IS NULL").select("key", F.col("a").alias("node")).distinct()
-        # A key goes on while its classes shrink it; those that fit one chunk had no representatives.
-        more = again.groupBy("key").agg(F.count(F.lit(1)).alias("left")).where("left > 1")
-        sizes = groups.where("key IS NOT NULL").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-        going = lineage.cut(more.join(sizes, "key").where(F.col("left") < F.col("n") * SHRINK).select("key"))
-        if going.isEmpty():
-            return found
-        groups = lineage.cut(_chunks(again.join(going, "key"), chunk))
-
-
-def links(docs: DataFrame, sketched: DataFrame, similarity: float = SIMILARITY, chunk: int = CHUNK) -> DataFrame:
+    """(gid, node): chunks of the nodes of a key; equal sets of nodes are one chunk."""
+    part = F.when(F.col("n") > chunk, F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("n") / chunk))).otherwise(F.lit(0)).alias("part")
+    sets = pairs.groupBy("key", part).agg(F.sort_array(F.collect_list("node")).alias("nodes"))
+    sets = sets.select("nodes").where("size(nodes) > 1").distinct()
+    return sets.select(F.xxhash64("nodes").alias("gid"), F.explode("nodes").alias("node"))
+
+
+def _blocks(hot: DataFrame, similarity: float, block: int) -> DataFrame:
+    """(gid, node, side): every two blocks of a hot key, and each alone, that links don't connect altogether.
+
+    ``hot`` is (key, node, root, n_words).  Lengths are cut at powers of 1 / similarity: two similar texts are
+    in one band or in neighbouring ones, and blocks of other bands never meet.
+    """
+    # A little wider than the powers, so that no rounding puts a similar pair two bands apart.
+    hot = hot.withColumn("band", F.floor(F.log("n_words") / -np.log(similarity - 1e-3)))
+    bands = hot.groupBy("key", "band").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    dealt = hot.join(bands, ["key", "band"]).withColumn("part", F.pmod(F.xxhash64("node", "key"), F.col("blocks")))
+    dealt = lineage.cut(dealt.select("key", "band", "part", "node", "root"))
+    each = dealt.groupBy("key", "band", "part").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    one, two = each.alias("x"), each.alias("y")
+    near = (F.col("x.key") == F.col("y.key")) & F.expr("(x.band = y.band AND x.part <= y.part) OR x.band + 1 = y.band")
+    open_ = F.least("x.low", "y.low") < F.greatest("x.high", "y.high")
+    met = one.join(two, near & open_).select(
+        F.xxhash64("x.key", "x.band", "x.part", "y.band", "y.part").alias("gid"), F.col("x.key").alias("key"),
+        F.col("x.band").alias("band_x"), F.col("x.part").alias("part_x"), F.col("y.band").alias("band_y"), F.col("y.part").alias("part_y"),
+    )
+    alone = (F.col("band_x") == F.col("band_y")) & (F.col("part_x") == F.col("part_y"))
+    first = met.select("gid", "key", F.col("band_x").alias("band"), F.col("part_x").alias("part"), F.when(alone, -1).otherwise(0).alias("side"))
+    second = met.where(~alone).select("gid", "key", F.col("band_y").alias("band"), F.col("part_y").alias("part"), F.lit(1).alias("side"))
+    return dealt.join(first.union(second), ["key", "band", "part"]).select("gid", "node", "side")
+
+
+def _linked(groups: DataFrame, codes: DataFrame, roots: DataFrame | None, similarity: float) -> DataFrame:
+    """(a, b): the verified links of the groups."""
+    rooted = groups.withColumn("root", F.col("node")) if roots is None else groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = rooted.join(codes, "node").select("gid", "node", "side", "root", "codes")
+    return lineage.cut(lineage.map_groups(rows, "gid", lambda: _Align(similarity), "a string, b string"))
+
+
+def links(docs: DataFrame, sketched: DataFrame, similarity: float = SIMILARITY, chunk: int = CHUNK, block: int = BLOCK) -> DataFrame:
     """(a, b): enough verified links between nodes to connect every class.
 
-    The first FIRST sketches link most of what there is.  Of the others only the groups whose nodes
-    aren't all connected yet are gathered, and in them only nodes that aren't are compared.
+    The first FIRST sketches, hot ones in chunks, link most of what there is.  Of the others, and
+    of the blocks of all hot ones, only the groups whose nodes aren't all connected yet are gathered,
+    and in them only nodes that aren't are compared.
     """
-    nodes = sketched.where("node IS NOT NULL").groupBy("node").agg(F.min("rkey").alias("rkey"), F.min("keys").alias("keys"))
-    pairs = nodes.select("node", F.posexplode("keys").alias("i", "key"))
-    first = lineage.cut(_chunks(pairs.where(F.col("i") < FIRST).select("node", "key"), chunk))
-    rest = lineage.cut(_chunks(pairs.where(F.col("i") >= FIRST).select("node", "key"), chunk))
-    wanted = nodes.select("node", "rkey").join(first.select("node").union(rest.select("node")).distinct(), "node")
+    nodes = sketched.where("node IS NOT NULL").groupBy("node").agg(F.min("rkey").alias("rkey"), F.min("keys").alias("keys"), F.min("n_words").alias("n_words"))
+    pairs = nodes.select("node", "n_words", F.posexplode("keys").alias("i", "key"))
+    counts = pairs.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    pairs = lineage.cut(pairs.join(counts, "key"))
+    first = lineage.cut(_chunks(pairs.where(F.col("i") < FIRST), chunk))
+    rest = lineage.cut(_chunks(pairs.where((F.col("i") >= FIRST) & (F.col("n") <= chunk)), chunk))
+    hot = pairs.where(F.col("n") > chunk).select("key", "node", "n_words")
+    wanted = nodes.select("node", "rkey").join(pairs.select("node").distinct(), "node")
     texts = docs.select(row_key(), "text").join(wanted, "rkey").dropDuplicates(["rkey"])
     codes = lineage.cut(batches.map_rows(texts, ["node", batches.text_column()], _Codes, "node string, codes binary"))
-    found = _rounds(first, codes, None, similarity, chunk)
+    found = _linked(first.withColumn("side", F.lit(-1)), codes, None, similarity)
     roots = components(found)
     root = F.coalesce("root", "node")
     open_ = rest.join(roots, "node", "left").groupBy("gid").agg(F.min(root).alias("low"), F.max(root).alias("high")).where("low < high").select("gid")
-    return found.union(_rounds(rest.join(open_, "gid").select("gid", "key", "node"), codes, roots, similarity, chunk))
+    groups = rest.join(open_, "gid").select("gid", "node", F.lit(-1).alias("side"))
+    blocks = _blocks(hot.join(roots, "node", "left").withColumn("root", root), similarity, block)
+    return found.union(_linked(groups.union(blocks), codes, roots, similarity))
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, chunk: int = CHUNK) -> DataFrame:
@@ -322,7 +318,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, chunk: int = CHUNK)
     shares its rkey with the others).
     """
     sketched = lineage.cut(
-        batches.map_rows(docs, [row_key(), "doc_id", batches.text_column()], _Sketch, "rkey string, doc_id long, node string, keys array<long>")
+        batches.map_rows(docs, [row_key(), "doc_id", batches.text_column()], _Sketch, "rkey string, doc_id long, node string, n_words int, keys array<long>")
     )
     roots = components(links(docs, sketched, similarity, chunk))
     own = sketched.select("rkey", "doc_id", "node")

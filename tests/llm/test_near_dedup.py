@@ -88,6 +88,24 @@ def test_classes_against_brute_force(documents):
     assert kept.columns == table.columns and kept.count() == len(groups)
 
 
+def test_star_of_a_hot_sketch(documents):
+    """Copies near the base alone: each link is one pair of a hot key."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(4000)]
+    base = [rng.choice(words) for _ in range(140)]
+    docs = [(0, " ".join(base))]
+    for i in range(1, 260):
+        w = list(base)
+        for at in rng.sample(range(40, 140), 18):
+            w[at] = f"n{i}x{at}"
+        docs.append((i, " ".join(w)))
+    codes = [m.word_codes(m.words_of(t)).astype(np.int64) for _, t in docs]
+    kmers = [set(m.sketches(m.labelled_kmers(c)).tolist()) for c in codes]
+    near = {i for i in range(1, len(docs)) if kmers[0] & kmers[i] and m.linked(codes[0], codes[i])}
+    got = {r.doc_id: r.class_id for r in m.classes(documents(docs), chunk=12).collect()}
+    assert len(near) > 200 and all(got[i] == 0 for i in near)
+
+
 def test_odd_rows(odd):
     got = m.classes(odd).collect()
     assert len(got) == odd.count() and {r.class_size for r in got if r.doc_id == 4} == {2}
