@@ -1,6 +1,6 @@
 """Near-duplicate documents by order MinHash, verified by banded alignment.
 
-Words are runs of letters and digits in lower case.  A document's five-word k-mers are labelled with
+Words are runs of letters and digits in lower case.  A document's three-word k-mers are labelled with
 their occurrence; each of SKETCHES sketches takes the TAKE k-mers of least hash in the order
 in which they stand in the text, so it is sensitive to edit similarity and not just to sets.
 Documents that share a sketch are aligned word by word within a band; two are linked if
@@ -30,11 +30,13 @@ from tarnhelm.llm.components import components
 
 WORD = re.compile(r"[^\W_]+")
 SHINGLE = 5
-SKETCHES = 16
+#: Words of the sketches' k-mers; fewer than a shingle's, so that spread edits leave more of them whole.
+KMER = 3
+SKETCHES = 24
 TAKE = 2
 #: Sketches that are verified before the others.
 FIRST = 4
-SIMILARITY = 0.85
+SIMILARITY = 0.8
 #: Nodes that one chunk of candidates holds, about.
 CHUNK = 96
 #: Nodes of a block of a hot sketch, about.
@@ -45,6 +47,8 @@ FEW = 128
 BINS = 512
 
 _U = np.uint64
+#: Odd factors and offsets of the sketches' orders; the k-mers' hashes are mixed already.
+_ORDERS = np.random.default_rng(9).integers(1 << 63, size=(2, SKETCHES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -62,7 +66,7 @@ def word_codes(words: list[str]) -> np.ndarray:
     return np.fromiter(map(zlib.crc32, map(str.encode, words)), np.uint32, len(words))
 
 
-def labelled_kmers(codes: np.ndarray, k: int = SHINGLE) -> np.ndarray:
+def labelled_kmers(codes: np.ndarray, k: int = KMER) -> np.ndarray:
     """Hashes of the k-mers, each told apart from its earlier occurrences."""
     n = max(1, len(codes) - k + 1)
     w = _mix(codes.astype(np.uint64) + _U(1))
@@ -84,7 +88,7 @@ def sketches(kmers: np.ndarray, m: int = SKETCHES, take: int = TAKE, block: int
     n = min(take, len(kmers))
     for at in range(0, m, block):
         i = np.arange(at, min(m, at + block), dtype=np.uint64)
-        v = _mix(kmers[None, :] * (i[:, None] * _U(2) + _U(0x2545F4914F6CDD1D)) + i[:, None])
+        v = kmers[None, :] * _ORDERS[0, at : at + len(i), None] + _ORDERS[1, at : at + len(i), None]
         places = np.empty((len(i), n), np.int64)
         rows = np.arange(len(i))
         for t in range(n):

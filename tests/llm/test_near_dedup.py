@@ -106,6 +106,22 @@ def test_star_of_a_hot_sketch(documents):
     assert len(near) > 200 and all(got[i] == 0 for i in near)
 
 
+def test_recall_at_the_threshold():
+    """Of texts with a fifth of their words replaced anywhere, nearly all are linked and share a sketch."""
+    rng = random.Random(6)
+    met = 0
+    for n in range(200):
+        a = np.array([rng.randrange(1 << 32) for _ in range(200)], np.uint32)
+        b = a.copy()
+        b[rng.sample(range(200), 40)] ^= np.uint32(0x5A5A5A5A)
+        assert m.linked(a.astype(np.int64), b.astype(np.int64))
+        x, y = (m.sketches(m.labelled_kmers(c)) for c in (a, b))
+        met += bool((x == y).any())
+    assert met >= 180
+    longer = np.arange(120)
+    assert m.linked(longer[:100], longer)
+
+
 def test_odd_rows(odd):
     got = m.classes(odd).collect()
     assert len(got) == odd.count() and {r.class_size for r in got if r.doc_id == 4} == {2}
