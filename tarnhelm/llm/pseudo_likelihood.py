@@ -6,8 +6,8 @@ within it.  A document's score is the sum of its words' conditional log-probabil
 
 Words are counted over all documents; the most frequent are symbols of their own and the rest
 share hashed buckets.  Training is spread: from one start, every task trains its own copy on windows of
-its documents (every STRIDE-th word of every document, so the training set grows with the
-corpus), the copies are averaged in SLOTS groups and then once more, and the next round
+its documents (in each round another part of every document's words, so that over the rounds every
+word is a target once), the copies are averaged in SLOTS groups and then once more, and the next round
 starts from the mean.  What reaches the driver is SLOTS copies of fixed size.
 
 Defined results: a null or empty text has no words, log_prob 0 and mean_log_prob null; repeated rows
@@ -34,7 +34,6 @@ BUCKETS = 256
 CLASS = 32
 DIM = 24
 REACH = 2
-STRIDE = 8
 ROUNDS = 2
 BATCH = 2048
 SLOTS = 16
@@ -208,13 +207,19 @@ def vocabulary(docs: DataFrame) -> Vocabulary:
     return Vocabulary([r["word"] for r in top], counts)
 
 
+def targets(words: list[str], turn: int, rounds: int) -> np.ndarray:
+    """Places of the words that a round trains; over all rounds each word once."""
+    return np.arange((zlib.crc32(words[0].encode()) + turn) % rounds, len(words), rounds)
+
+
 class _Train:
-    def __init__(self, vocabulary: Vocabulary, start: bytes, rate: float):
+    def __init__(self, vocabulary: Vocabulary, start: bytes, rate: float, turn: int, rounds: int):
         from pyspark import TaskContext
 
         context = TaskContext.get()
         self.part = context.partitionId() if context else 0
         self.vocabulary, self.trainer = vocabulary, Trainer(Network.unpack(start), rate)
+        self.turn, self.rounds = turn, rounds
         self.ids: list[np.ndarray] = []
         self.at: list[np.ndarray] = []
         self.size = self.seen = self.base = 0
@@ -225,7 +230,7 @@ class _Train:
             if not words:
                 continue
             ids = self.vocabulary.ids(words)
-            at = np.arange(zlib.crc32(words[0].encode()) % min(STRIDE, len(words)), len(words), STRIDE) + REACH
+            at = targets(words, self.turn, self.rounds) + REACH
             self.ids.append(ids)
             self.at.append(at + self.base)
             self.base += len(ids)
@@ -280,10 +285,10 @@ def train(docs: DataFrame, words: Vocabulary, rounds: int = ROUNDS, rate: float
     for r in range(rounds):
         start = context.broadcast(net.pack())
         step = rate / (r + 1)
-        copies = batches.map_rows(docs, [batches.text_column()], lambda: _Train(held.value, start.value, step), "slot int, part int, n long, net binary")
+        copies = batches.map_rows(docs, [batches.text_column()], lambda: _Train(held.value, start.value, step, r, rounds), "slot int, part int, n long, net binary")
         means = copies.repartition(SLOTS, "slot").sortWithinPartitions("slot", "part").mapInArrow(_Mean(to_arrow_schema(kind)), kind).collect()
-        if not means:
-            break
+        if not means:  # no document has a word of this turn
+            continue
         total = sum(m["n"] for m in means)
         mean = sum(np.frombuffer(m["net"], np.float32).astype(float) * (m["n"] / total) for m in sorted(means, key=lambda m: m["slot"]))
         net = Network.unpack(mean.astype(np.float32).tobytes())

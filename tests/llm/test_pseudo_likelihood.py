@@ -40,6 +40,20 @@ def test_log_probabilities_sum_to_one():
     assert abs(total - 1) < 1e-3
 
 
+def test_every_word_is_a_target_once():
+    texts = [t for _, t in corpus(20)] + ["one", "one two", ""]
+    start, got = m.Network().pack(), 0
+    for turn in range(m.ROUNDS):
+        task = m._Train(m.Vocabulary([], np.ones(m.SYMBOLS)), start, 0.1, turn, m.ROUNDS)
+        task.rows({"text": texts})
+        task._step()
+        got += task.seen
+    assert got == sum(len(t.split()) for t in texts)
+    for n in range(1, 12):
+        places = [p for turn in range(3) for p in m.targets(["x"] * n, turn, 3).tolist()]
+        assert sorted(places) == list(range(n))
+
+
 def test_scores(spark, documents, odd):
     rows = corpus()
     docs = documents(rows)
