@@ -67,6 +67,39 @@ def map_rows(df: DataFrame, columns: list, make: Callable[[], object], schema: s
     return df.select(*columns).mapInArrow(_Mapper(make, arrow, most), schema)
 
 
+class _Appender:
+    """Picklable partition function: the input's arrays as they are, and the worker's beside them."""
+
+    def __init__(self, make: Callable[[], Callable[[list[str]], Columns]], at: int, schema: pa.Schema, most: int):
+        self.make, self.at, self.schema, self.most = make, at, schema, most
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = self.make()
+        for batch in batches:
+            for piece in pieces(batch, self.most):
+                got = work([t or "" for t in piece.column(self.at).to_pylist()])
+                new = [pa.array(got[f.name], type=f.type) for f in self.schema]
+                names = [*piece.schema.names, *self.schema.names]
+                yield pa.RecordBatch.from_arrays([*piece.columns, *new], names=names)
+
+
+def append(df: DataFrame, make: Callable[[], Callable[[list[str]], Columns]], schema: str, text: str = "text", most: int = PIECE_BYTES) -> DataFrame:
+    """``df`` with its columns named _0, _1, ... and the columns that a worker makes of its texts.
+
+    Only the texts become Python objects; all else passes through as Arrow arrays.  The
+    numbered names can't clash with the new ones, whatever the table's columns are called.
+    """
+    new = as_struct(schema)
+    plain = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+    both = T.StructType([*plain.schema.fields, *new.fields])
+    return plain.mapInArrow(_Appender(make, df.columns.index(text), to_arrow_schema(new), most), both)
+
+
+def own_columns(names: list[str], **replaced) -> list:
+    """Columns of an appended table under their old names; ``replaced`` gives some a new value."""
+    return [(replaced[n] if n in replaced else F.col(f"_{i}")).alias(n) for i, n in enumerate(names)]
+
+
 def text_column(name: str = "text"):
     """A null text counts as empty."""
     return F.coalesce(F.col(name), F.lit("")).alias("text")

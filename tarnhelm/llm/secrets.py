@@ -4,14 +4,15 @@ Two second-order character models, one of random strings and one of ordinary ide
 trained from labelled samples; a long token whose log-likelihood ratio exceeds a cut that
 was calibrated on other labelled samples is a secret of kind ``markov``.
 
-The samples: label 0 are letter-only words of a bounded sample of rows labelled good, alone
+The samples: label 0 are the letter-only words of a bounded sample of rows labelled good, alone
 and joined in the usual identifier styles, plus programming words and plain numbers; label 1
-are random strings over the usual secret alphabets from a fixed seed.  One fourth of each
-calibrates the cut.
+are random strings over the usual secret alphabets from a fixed seed, plus what the fixed patterns
+find in the same rows.  One fourth of each calibrates the cut.
 
 Defined results: a null text counts as empty and has no span; repeated rows are scanned
-alike; offsets are code points, ends exclusive; without labelled rows the built-in words
-alone stand for ordinary identifiers.
+alike; offsets are code points, ends exclusive; texts of any length are scanned whole; an empty table
+gives an empty result; without labelled rows the built-in words alone stand for ordinary identifiers;
+a score that equals the cut is ordinary; extra columns pass through unread, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,7 +34,6 @@ TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 KINDS = ("assign", "access", "hex", "markov")
 #: Bound on the labelled rows whose words train the model of ordinary identifiers.
 MOST_ROWS = 400
-MOST_WORDS = 20_000
 
 #: Ordinary programming words.
 PROGRAMMING_WORDS = """
@@ -63,19 +63,25 @@ valid validate value variable vector verify version view visible wait warning wa
 
 
 class Markov:
-    """Second-order log-probabilities over a small alphabet, add-a-bit smoothed."""
-
-    def __init__(self, tokens: list[str], weight: float = 0.05):
-        n = 128
-        self.n = n
-        counts = np.full((n * n, n), weight)
-        for t in tokens:
-            c = self.points(t)
-            np.add.at(counts, (c[:-2] * n + c[1:-1], c[2:]), 1)
-        seen = counts.sum(0) + 1.0  # a state that was never seen backs off to single characters
-        back = seen / seen.sum()
-        counts += 8 * back
-        self.logs = np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32)
+    """Second-order log-probabilities, each order smoothed towards the one below it.
+
+    A pair that was never seen costs what its single characters cost after one another, so an
+    improbable change of character kinds is paid for at every step.
+    """
+
+    def __init__(self, tokens: list[str], strength: float = 2.0):
+        n = self.n = 128
+        # Two start marks before each token; no step leads into one.
+        c = np.frombuffer(b"".join(b"\0\0" + t.encode("ascii", "replace") for t in tokens) or b"\0\0", np.uint8).astype(np.int64)
+        step = np.flatnonzero(c[2:]) + 2
+        three = np.zeros((n * n, n))
+        np.add.at(three, (c[step - 2] * n + c[step - 1], c[step]), 1)
+        two = three.reshape(n, n, n).sum(0)
+        one = two.sum(0) + 0.5
+        p = np.broadcast_to(one / one.sum(), (n, n))
+        p = (two + strength * p) / (two.sum(1, keepdims=True) + strength)
+        three = (three + strength * np.tile(p, (n, 1))) / (three.sum(1, keepdims=True) + strength)
+        self.logs = np.log(three).astype(np.float32)
 
     @staticmethod
     def points(t: str) -> np.ndarray:
@@ -84,17 +90,17 @@ class Markov:
 
 
 class Detector:
-    """Two models and the cut on their log-likelihood ratio a character."""
+    """Two models and the cut on their log-likelihood ratio a character.
+
+    Three fourths of either sample train, one fourth calibrates: the cut lies between the
+    highest of the ordinary ones but for the share ``tolerance`` and the random ones' quantile of 0.02.
+    """
 
     def __init__(self, random_: list[str], ordinary: list[str], tolerance: float = 0.0):
-        own = [t for i, t in enumerate(random_) if i % 4], [t for i, t in enumerate(ordinary) if i % 4]
-        a, b = Markov(own[0]), Markov(own[1])
-        self.ratio = a.logs - b.logs
-        n = Markov([""]).n if not own[0] else a.n
-        self.n = n
+        a, b = (Markov([t for i, t in enumerate(x) if i % 4]) for x in (random_, ordinary))
+        self.ratio, self.n = a.logs - b.logs, a.n
         r = np.sort([self.score(t) for t in random_[::4]])
         o = np.sort([self.score(t) for t in ordinary[::4] if len(t) >= 20] or [0.0])
-        # Between the two: at most `tolerance` of the ordinary ones pass, and with a gap its middle.
         low = float(o[min(len(o) - 1, int(len(o) * (1 - tolerance)))])
         high = float(r[int(len(r) * 0.02)])
         self.cut = (low + high) / 2 if high > low else float(np.nextafter(low, np.inf))
@@ -143,16 +149,17 @@ class _Words:
     WORD = re.compile(r"(?<![^\s])[A-Za-z]{3,}(?![^\s.,;:!?])")
 
     def __call__(self, c: dict) -> dict:
-        return {"words": [self.WORD.findall(t)[:MOST_WORDS // 100] for t in c["text"]]}
+        found = [[m[2] for m in ASSIGN.finditer(t) if len(m[2]) >= 20] + ACCESS.findall(t) + HEX.findall(t) for t in c["text"]]
+        return {"words": [list(dict.fromkeys(self.WORD.findall(t))) for t in c["text"]], "secrets": found}
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Detector:
-    """The detector from at most ``most`` labelled rows."""
+    """The detector from the whole texts of at most ``most`` rows labelled good."""
     rows = samples.labelled(docs, labels.where("quality = 1"), "quality", most)
-    got = batches.map_rows(rows, [batches.text_column()], _Words, "words array<string>").collect()
+    got = batches.map_rows(rows, [batches.text_column()], _Words, "words array<string>, secrets array<string>").collect()
     words = sorted({w for r in got for w in r["words"]})
-    keep = np.random.default_rng(5).permutation(len(words))[:MOST_WORDS]
-    return Detector(random_strings(), identifiers(PROGRAMMING_WORDS + [words[i] for i in sorted(keep)]))
+    found = sorted({w for r in got for w in r["secrets"]})
+    return Detector(random_strings() + found, identifiers(PROGRAMMING_WORDS + words))
 
 
 Span = tuple[int, int, int]
@@ -195,42 +202,36 @@ class _Scan:
     def __init__(self, detector: Detector, redact: bool):
         self.detector, self.redact = detector, redact
 
-    def __call__(self, c: dict) -> dict:
-        base = [base_spans(t) for t in c["text"]]
-        full = [all_spans(t, b, self.detector) for t, b in zip(c["text"], base)]
-        out = {"_row": c["_row"], "n_assign": [], "n_access": [], "n_hex": []}
-        for k, name in enumerate(("n_assign", "n_access", "n_hex", "n_markov")):
-            out[name] = [sum(x == k for _, x, _ in spans) for spans in full]
+    def __call__(self, texts: list[str]) -> dict:
+        base = [base_spans(t) for t in texts]
+        full = [all_spans(t, b, self.detector) for t, b in zip(texts, base)]
+        if self.redact:
+            return {"clean": [redacted(t, x) if x else None for t, x in zip(texts, full)]}
+        out: dict[str, list] = {name: [sum(x == k for _, x, _ in spans) for spans in full] for k, name in enumerate(("n_assign", "n_access", "n_hex", "n_markov"))}
         out["base_sha256"] = [hashlib.sha256(written(b).encode()).hexdigest() for b in base]
         out["spans"] = [written(x) for x in full]
-        if self.redact:
-            out["clean"] = [redacted(t, x) if x else None for t, x in zip(c["text"], full)]
         return out
 
 
 COLUMNS = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_markov long"
 
 
-def scan(docs: DataFrame, detector: Detector, carry: tuple[str, ...] = ("doc_id",), redact: bool = False) -> DataFrame:
-    """``carry`` and the spans, one row per document, without a shuffle; with ``redact``,
-    ``clean`` has the text without its secrets (null if there are none)."""
-    row = F.struct(*carry)
-    kind = docs.select(row.alias("_row")).schema["_row"].dataType.simpleString()
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(detector)  # of fixed size
-    schema = f"_row {kind}, {COLUMNS}" + ", clean string" * redact
-    got = batches.map_rows(docs, [row.alias("_row"), batches.text_column()], lambda: _Scan(held.value, redact), schema)
-    return got.select("_row.*", *[x.split()[0] for x in COLUMNS.split(", ")], *["clean"] * redact)
+def scan(docs: DataFrame, detector: Detector) -> DataFrame:
+    """doc_id and the spans, one row per document, without a shuffle."""
+    held = docs.sparkSession.sparkContext.broadcast(detector)  # of fixed size
+    got = batches.append(docs.select("doc_id", "text"), lambda: _Scan(held.value, False), COLUMNS)
+    return got.select(F.col("_0").alias("doc_id"), *[x.split()[0] for x in COLUMNS.split(", ")])
 
 
 def remove_secrets(docs: DataFrame, detector: Detector) -> DataFrame:
-    """The documents with every secret replaced by a mark; ``n_chars`` follows the text."""
-    other = [c for c in docs.columns if c != "text"]
-    kept = docs.select(F.col("text").isNull().alias("_null"), F.col("text"), *other)
-    got = scan(kept.withColumn("_text", F.col("text")), detector, ("_null", "_text", *other), redact=True)
-    text = F.when(F.col("_null"), F.lit(None)).otherwise(F.coalesce("clean", "_text"))
-    cols = {"text": text, "n_chars": F.when(F.col("clean").isNull(), F.col("n_chars")).otherwise(F.length("clean")).cast("long")}
-    return got.select(*[cols[c].alias(c) if c in cols else F.col(c) for c in docs.columns])
+    """The documents with every secret replaced by a mark; ``n_chars``, if there is one, follows the text."""
+    held = docs.sparkSession.sparkContext.broadcast(detector)
+    got = batches.append(docs, lambda: _Scan(held.value, True), "clean string")
+    at = {n: F.col(f"_{i}") for i, n in enumerate(docs.columns)}
+    new = {"text": F.coalesce("clean", at["text"])}
+    if "n_chars" in at:
+        new["n_chars"] = F.coalesce(F.length("clean").cast(docs.schema["n_chars"].dataType), at["n_chars"])
+    return got.select(batches.own_columns(docs.columns, **new))
 
 
 def op1_secret_scan(spark, sf_dir: str) -> DataFrame:

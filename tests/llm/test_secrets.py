@@ -69,3 +69,22 @@ def test_overlapping_spans_give_one_mark():
 
 def test_training_on_no_rows(spark, documents, labels):
     assert m.train(documents([(1, "x")]), labels).recall > 0.9
+
+
+def test_alternating_strings_are_random():
+    import random
+
+    rng, d = random.Random(4), detector()
+    letters, digits = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    made = ["".join(rng.choice(letters if i % 2 else digits) for i in range(24)) for _ in range(400)]
+    assert sum(map(d.is_secret, made)) >= 0.95 * len(made)
+
+
+def test_clashing_names(documents):
+    from pyspark.sql import functions as F
+
+    d = detector()
+    docs = documents([(1, "a token=abcdefgh12 b"), (2, "plain")]).withColumns({n: F.lit(n) for n in ("spans", "clean", "n_markov", "_null", "_0", "_row")})
+    got = m.remove_secrets(docs, d)
+    assert got.columns == docs.columns
+    assert sorted((r.text, r.spans, r.clean, r["_0"]) for r in got.collect()) == [("a [SECRET] b", "spans", "clean", "_0"), ("plain", "spans", "clean", "_0")]
