@@ -3,29 +3,49 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tarnhelm.llm.batches import as_struct, to_batch
 
+_OWN: dict[str, str] = {}
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and read from the checkpoint folder from now on.
 
-    The folder is the one in spark.checkpoint.dir; only where none is set (local
-    sessions, tests) a temporary one is used.
-    """
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; only where none is set (local sessions, tests) a temporary one."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not context.master.startswith("local"):
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named is None:
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tarnhelm-checkpoint-"))
-    return df.checkpoint()
+        named = _OWN.setdefault("folder", tempfile.mkdtemp(prefix="tarnhelm-"))
+    return named.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once, written as a table in the shared folder and read from there from now on.
+
+    A lost executor costs its running tasks and nothing that was cut before.
+    """
+    path = f"{folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    got = df.sparkSession.read.schema(df.schema).parquet(path)
+    got._cut = path
+    return got
+
+
+def drop(*dfs: DataFrame) -> None:
+    """Deletes the tables of frames made by :func:`cut` that nothing will read again."""
+    for df in dfs:
+        path = getattr(df, "_cut", None)
+        if path:
+            jvm, context = df.sparkSession._jvm, df.sparkSession.sparkContext
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
 class _Groups:

@@ -12,7 +12,7 @@ def fixture():
 
 def test_against_sql(spark, documents):
     docs = documents(fixture())
-    got = m.plan_copies(docs, keep=False).select("doc_id", "size", "source_size", "target", "taken", "copies").toPandas()
+    got = m.plan_copies(docs).select("doc_id", "size", "source_size", "target", "taken", "copies").toPandas()
     con = duckdb.connect()
     con.register("frame", docs.toPandas())
     con.sql("CREATE VIEW documents AS SELECT CAST(doc_id AS BIGINT) AS doc_id, text, lang, source, n_chars FROM frame")
@@ -25,7 +25,7 @@ def test_against_sql(spark, documents):
 
 def test_targets_and_copies(documents):
     docs = documents(fixture())
-    got = m.plan_copies(docs, keep=False).collect()
+    got = m.plan_copies(docs).collect()
     per = {}
     for r in got:
         assert r.taken <= 2 * r.size
@@ -39,12 +39,31 @@ def test_targets_and_copies(documents):
     mixed = m.mix(docs)
     assert mixed.columns == docs.columns and mixed.count() == sum(r.copies for r in got)
     assert m.mix(docs.limit(0)).count() == 0
-    again = m.plan_copies(docs.repartition(7), keep=False).collect()
+    again = m.plan_copies(docs.repartition(7)).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
 
 
 def test_weights_by_code_point(documents):
     docs = documents([(i, "w " * 1000, s) for i, s in enumerate(("é", "z", "A", None))])
-    t = {r.source: r.target for r in m.source_targets(m.plan_copies(docs, keep=False).select("source", "size")).collect()}
+    t = {r.source: r.target for r in m.source_targets(m.plan_copies(docs).select("source", "size")).collect()}
     # A, z, é, null weigh 3, 1, 2, 3; 6000 words to share, 2000 at most each.
     assert t["A"] == 2000 and t[None] == 2000 and abs(t["é"] - 2 * t["z"]) < 1e-6 and abs(sum(t.values()) - 6000) < 1e-6
+
+
+def test_many_sources_take_the_salted_join(documents, monkeypatch):
+    docs = documents(fixture())
+    want = sorted(map(str, m.plan_copies(docs).collect()))
+    monkeypatch.setattr(m, "MOST_BROADCAST", 0)
+    assert sorted(map(str, m.plan_copies(docs).collect())) == want
+
+
+def test_clashing_names_and_draws(documents):
+    docs = documents(fixture())
+    for name in ("doc", "h", "size", "copies", "seed", "target"):
+        docs = docs.withColumnRenamed("lang", name) if name == "doc" else docs.withColumn(name, docs["doc_id"])
+    mixed = m.mix(docs)
+    assert mixed.columns == docs.columns
+    per = {}
+    for r in m.plan_copies(docs).collect():
+        per.setdefault(r.doc_id, set()).add((r.source, r.copies))
+    assert len(per[7]) == len({s for s, _ in per[7]})

@@ -26,7 +26,7 @@ def test_stages_take_effect(spark, sf, tmp_path):
         if spans := secrets.base_spans(r.text):
             assert not secrets.base_spans(texts[r.doc_id]) and all(r.text[s:e] not in texts[r.doc_id] for s, _, e in spans)
     before, after = seen["source_mix"]
-    copies = {r.doc_id: r.copies for r in mixing.plan_copies(before, keep=False).collect() if r.copies}
+    copies = {r.doc_id: r.copies for r in mixing.plan_copies(before).collect() if r.copies}
     assert {r.doc_id: r["count"] for r in after.groupBy("doc_id").count().collect()} == copies
     before, after = seen["packing"]
     encoder = packing.encoder(packing.default_tokenizer())
