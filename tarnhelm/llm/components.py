@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnhelm.llm.lineage import cut
+from tarnhelm.llm.lineage import cut, drop
 
 
 def _largest_stars(edges: DataFrame, larger: bool) -> DataFrame:
@@ -33,7 +33,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
     seen = None
     for _ in range(most_rounds):
-        edges = cut(_largest_stars(_largest_stars(edges, True), False))
+        before, edges = edges, cut(_largest_stars(_largest_stars(edges, True), False))
+        drop(before)
         row = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if (row["n"], row["s"]) == seen:
             break

@@ -7,19 +7,20 @@ Documents that share a sketch are aligned word by word within a band; two are li
 1 - edits / words of the longer one is SIMILARITY or more.  A class is what links connect.
 
 Shape of the job: texts with equal words are one node from the start, so copies cost nothing
-further.  A sketch of few nodes is one group.  Of a hot sketch (more nodes than CHUNK) chunks are aligned
-first, and then, block against block, every pair of its nodes that links don't connect yet, but
-for pairs whose lengths alone rule them out.  A group holds two blocks, so no list of pairs is ever made.
+further.  The nodes of one sketch are a set of candidates; equal sets are one, and sets with the same
+least node are verified together, so what one of them connects the others needn't align again.  Of a hot
+sketch (more nodes than BLOCK) blocks are verified so first, and then, block against block, every
+pair of its nodes that links don't connect yet, but for pairs whose lengths alone rule them out.
+A group holds a few blocks, so no list of pairs is ever made.
 
 Defined results: a null text counts as empty; a document without words is a class of its own;
-repeated rows are copies; a class id is its least doc_id (null only if all are null).
+repeated rows are copies, of which one is kept; a class id is its least doc_id (null only if all are null), and the
+kept row is the one of least doc_id, of equal ids the one of least text hash; texts of any length are
+compared whole; an empty table gives an empty result; extra columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
-import re
-import zlib
-
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
@@ -27,191 +28,153 @@ from pyspark.sql import functions as F
 
 from tarnhelm.llm import batches, lineage
 from tarnhelm.llm.components import components
+from tarnhelm.llm.words import codes, mix
 
-WORD = re.compile(r"[^\W_]+")
-SHINGLE = 5
 #: Words of the sketches' k-mers; fewer than a shingle's, so that spread edits leave more of them whole.
 KMER = 3
 SKETCHES = 24
 TAKE = 2
-#: Sketches that are verified before the others.
-FIRST = 4
 SIMILARITY = 0.8
-#: Nodes that one chunk of candidates holds, about.
-CHUNK = 96
-#: Nodes of a block of a hot sketch, about.
-BLOCK = 192
-#: Edits up to which alignments go along diagonals.
-FEW = 128
+#: Nodes of a hot sketch that are verified as one set, about.
+BLOCK = 2048
+#: Nodes that a node is held against at once.
+FEW = 64
 #: Hash bins of the quick bound on common words.
-BINS = 512
+BINS = 2048
 
 _U = np.uint64
 #: Odd factors and offsets of the sketches' orders; the k-mers' hashes are mixed already.
-_ORDERS = np.random.default_rng(9).integers(1 << 63, size=(2, SKETCHES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
-def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
-
-
-def word_codes(words: list[str]) -> np.ndarray:
-    """A 32-bit code of each word."""
-    return np.fromiter(map(zlib.crc32, map(str.encode, words)), np.uint32, len(words))
-
-
-def labelled_kmers(codes: np.ndarray, k: int = KMER) -> np.ndarray:
-    """Hashes of the k-mers, each told apart from its earlier occurrences."""
-    n = max(1, len(codes) - k + 1)
-    w = _mix(codes.astype(np.uint64) + _U(1))
-    h = np.zeros(n, np.uint64)
-    for j in range(min(k, len(codes))):
-        h = h * _U(0x9E3779B97F4A7C15) + w[j : j + n]
+_ORDERS = np.random.default_rng(9).integers(1 << 31, size=(2, SKETCHES), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+
+
+def labelled_kmers(words: np.ndarray, k: int = KMER) -> np.ndarray:
+    """Hashes of the k-mers of word codes, each told apart from its earlier occurrences."""
+    n = max(1, len(words) - k + 1)
+    h = np.zeros(n, _U)
+    for j in range(min(k, len(words))):
+        h = h * _U(0x9E3779B97F4A7C15) + words[j : j + n]
+    h = mix(h)
+    s = np.sort(h)
+    if not (s[1:] == s[:-1]).any():
+        return h
     order = np.argsort(h, kind="stable")
-    s = h[order]
-    new = np.concatenate([[True], s[1:] != s[:-1]])
     at = np.arange(n)
-    occurrence = np.empty(n, np.uint64)
-    occurrence[order] = (at - np.maximum.accumulate(np.where(new, at, 0))).astype(np.uint64)
-    return _mix(h ^ _mix(occurrence * _U(0xD6E8FEB86659FD93)))
+    new = np.concatenate([[True], s[1:] != s[:-1]])
+    occurrence = np.empty(n, _U)
+    occurrence[order] = (at - np.maximum.accumulate(np.where(new, at, 0))).astype(_U)
+    return np.where(occurrence == 0, h, mix(h ^ mix(occurrence * _U(0xD6E8FEB86659FD93))))
 
 
-def sketches(kmers: np.ndarray, m: int = SKETCHES, take: int = TAKE, block: int = 4) -> np.ndarray:
+def sketches(kmers: np.ndarray, m: int = SKETCHES, take: int = TAKE, cells: int = 1 << 16) -> np.ndarray:
     """One 64-bit key for each sketch: the taken k-mers in text order."""
-    out = np.empty(m, np.uint64)
+    out = np.empty(m, _U)
     n = min(take, len(kmers))
+    short = kmers.astype(np.uint32)
+    block = max(1, cells // len(kmers))
     for at in range(0, m, block):
-        i = np.arange(at, min(m, at + block), dtype=np.uint64)
-        v = kmers[None, :] * _ORDERS[0, at : at + len(i), None] + _ORDERS[1, at : at + len(i), None]
+        i = np.arange(at, min(m, at + block))
+        v = short[None, :] * _ORDERS[0, i, None] + _ORDERS[1, i, None]
         places = np.empty((len(i), n), np.int64)
         rows = np.arange(len(i))
         for t in range(n):
             places[:, t] = v.argmin(1)
-            v[rows, places[:, t]] = np.iinfo(np.uint64).max
+            v[rows, places[:, t]] = np.iinfo(np.uint32).max
         places.sort(1)
-        key = i + _U(1)
+        key = i.astype(_U) + _U(1)
         for t in range(n):
-            key = _mix(key * _U(0x9E3779B97F4A7C15) + kmers[places[:, t]])
-        out[at : at + len(i)] = key
+            key = mix(key * _U(0x9E3779B97F4A7C15) + kmers[places[:, t]])
+        out[i] = key
     return out
 
 
-def edits_within(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
-    """Edit distance of two word sequences if it is at most ``most``, by a band of diagonals."""
-    if abs(len(a) - len(b)) > most:
-        return None
-    n = min(len(a), len(b))
-    differ = np.flatnonzero(a[:n] != b[:n])
-    head = int(differ[0]) if len(differ) else n
-    a, b, n = a[head:], b[head:], n - head
-    differ = np.flatnonzero(a[::-1][:n] != b[::-1][:n])
-    tail = int(differ[0]) if len(differ) else n
-    a, b = a[: len(a) - tail], b[: len(b) - tail]
-    if not len(a) or not len(b):
-        d = len(a) + len(b)
-        return d if d <= most else None
-    if most > 24 and max(len(a), len(b)) - _common(a, b) > most:  # words without a counterpart are edits at least
-        return None
-    # The first costs the square of the edits there are, whatever the band; beyond FEW the second is cheaper.
-    d = _diagonals(a.tolist(), b.tolist(), min(most, FEW))
-    return _rows(a, b, most) if d is None and most > FEW else d
-
+def places(words: np.ndarray) -> dict[int, int]:
+    """For each word, a number whose bits are the places where it stands."""
+    order = np.argsort(words, kind="stable")
+    edge = np.flatnonzero(np.diff(words[order])) + 1
+    return {int(words[p[0]]): sum(1 << i for i in p.tolist()) for p in np.split(order, edge)} if len(words) else {}
 
-def _common(a: np.ndarray, b: np.ndarray) -> int:
-    """Words that the two have in common, with repetitions."""
-    u, n = np.unique(np.concatenate([a, b]), return_inverse=True)
-    return int(np.minimum(np.bincount(n[: len(a)], minlength=len(u)), np.bincount(n[len(a) :], minlength=len(u))).sum())
 
+def edits_within(a: np.ndarray, b: np.ndarray, most: int, at: dict[int, int] | None = None) -> int | None:
+    """Edit distance of two word sequences if it is at most ``most``, in a band of that width.
 
-def _diagonals(a: list[int], b: list[int], most: int) -> int | None:
-    """Furthest reaching points by number of edits; only diagonals within the band exist."""
-    n, m = len(a), len(b)
-    reach = {0: 0}
-    for d in range(most + 1):
-        new: dict[int, int] = {}
-        for k in range(-d, d + 1):
-            if d == 0:
-                i = 0
-            else:
-                i = max(reach.get(k, -2) + 1, reach.get(k - 1, -2) + 1, reach.get(k + 1, -2))  # replaced, left out of a, left out of b
-                if i < 0:
-                    continue
-            i = min(i, n, m + k)
-            j = i - k
-            if j < 0 or i < 0:
-                continue
-            while i < n and j < m and a[i] == b[j]:
-                i += 1
-                j += 1
-            if i == n and j == m:
-                return d
-            new[k] = i
-        reach = new
-    return None
-
-
-def _rows(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
-    """The same for wide bands: rows of the band, whole rows at once."""
+    The band's vertical differences of a column are the bits of two numbers, so a column takes a
+    dozen operations whatever its width; the band moves down one row a column.  ``at`` may hold a's places.
+    """
     n, m = len(a), len(b)
     if abs(n - m) > most:
         return None
-    width = 2 * most + 1
-    far = most + 1
-    j0 = np.arange(width) - most
-    row = np.where((j0 >= 0) & (j0 <= m), np.abs(j0), far)
-    ramp = np.arange(width)
-    padded = np.full(m + 2 * width + 2, -1, np.int64)
-    padded[width : width + m] = b
-    for i in range(1, n + 1):
-        j = j0 + i
-        same = padded[width + i - 1 - most : width + i - 1 - most + width] == int(a[i - 1])
-        up = np.concatenate([row[1:], [far]]) + 1
-        new = np.minimum(row + ~same, up)
-        new[(j < 0) | (j > m)] = far
-        new[j == 0] = i
-        new = np.minimum.accumulate(new - ramp) + ramp
-        new[(j < 0) | (j > m)] = far
-        row = np.minimum(new, far)
-        if row.min() > most:
+    least = min(n, m)
+    differ = np.flatnonzero(a[:least] != b[:least])
+    head = int(differ[0]) if len(differ) else least
+    differ = np.flatnonzero(a[head:][::-1][: least - head] != b[head:][::-1][: least - head])
+    tail = int(differ[0]) if len(differ) else least - head
+    n, m = n - head - tail, m - head - tail
+    if not n or not m:
+        return n + m if n + m <= most else None
+    k = min(most, max(n, m))
+    at = places(a) if at is None else at
+    width = 2 * k + 2
+    full, bottom = (1 << width) - 1, 1 << (width - 1)
+    plus, minus = ((1 << (k + 1)) - 1) << (width - 1 - k), 0  # rows that add one to or take one from the row above
+    d, limit = min(k, n), 2 * k + m - n
+    below, shift = max(0, n - k), k + 1 - width
+    last = 1 << (width - 2 - max(0, k - n))  # the last row, once the band has reached it
+    for j, w in enumerate(b[head : head + m].tolist()):
+        same = at.get(w, 0) >> head
+        same = (same >> shift if shift >= 0 else same << -shift) & full
+        shift += 1
+        diagonal = ((((same & plus) + plus) ^ plus) | same | minus) & full
+        right_plus, right_minus = minus | (full ^ (diagonal | plus)), diagonal & plus
+        if j < below:
+            d += not diagonal & bottom
+        else:
+            d += bool(right_plus & last) - bool(right_minus & last)
+            last >>= 1
+        if d > limit:
             return None
-    d = int(row[most + m - n])
+        diagonal >>= 1
+        plus, minus = right_minus | (full ^ (diagonal | right_plus)), diagonal & right_plus
     return d if d <= most else None
 
 
-def linked(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
-    longest = max(len(a), len(b))
-    return edits_within(a, b, int((1 - similarity) * longest + 1e-9)) is not None
+def allowed(longest, similarity: float):
+    """Edits that two texts may have whose longer one has so many words."""
+    return np.int64((1 - similarity) * longest + 1e-9) if np.isscalar(longest) else ((1 - similarity) * longest + 1e-9).astype(np.int64)
+
+
+def linked(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY, at: dict[int, int] | None = None) -> bool:
+    return edits_within(a, b, int(allowed(max(len(a), len(b)), similarity)), at) is not None
 
 
 class _Sketch:
     def __call__(self, c: dict) -> dict:
         out: dict[str, list] = {"rkey": c["rkey"], "doc_id": c["doc_id"], "node": [], "n_words": [], "keys": []}
-        for t in c["text"]:
-            words = words_of(t)
+        for words in codes(c["text"]):
             out["n_words"].append(len(words))
-            if not words:
+            if not len(words):
                 out["node"].append(None)
                 out["keys"].append([])
                 continue
-            out["node"].append(xxhash.xxh3_128_hexdigest(" ".join(words)))
+            out["node"].append(xxhash.xxh3_128_hexdigest(words.tobytes()))
             with np.errstate(over="ignore"):
-                out["keys"].append(sketches(labelled_kmers(word_codes(words))).view(np.int64).tolist())
+                out["keys"].append(sketches(labelled_kmers(words)).view(np.int64).tolist())
         return out
 
 
 class _Codes:
+    """32 bits of each word's code: enough to align two texts."""
+
     def __call__(self, c: dict) -> dict:
-        return {"node": c["node"], "codes": [word_codes(words_of(t)).tobytes() for t in c["text"]]}
+        return {"node": c["node"], "codes": [w.astype(np.uint32).tobytes() for w in codes(c["text"])]}
 
 
 class _Align:
-    """Links that connect the classes of one group: of all its nodes, or of its two sides."""
+    """Links that connect the classes of one group of nodes.
+
+    Each node comes with the sets it is in (only nodes of one set are compared), its class so far
+    and a side: nodes of sides 0 and 1 are compared across, those of side -1 with all.  What comes out is
+    a star for every class: its nodes and its least node.
+    """
 
     def __init__(self, similarity: float):
         self.similarity = similarity
@@ -220,27 +183,50 @@ class _Align:
         order = sorted(range(len(g["node"])), key=g["node"].__getitem__)
         nodes = [g["node"][i] for i in order]
         side = np.array([g["side"][i] for i in order])
-        of = np.unique([g["root"][i] for i in order], return_inverse=True)[1]  # the class of each node
-        a, b = [], []
-        if (of == of[0]).all():
-            return {"a": a, "b": b}
-        codes = [np.frombuffer(g["codes"][i], np.uint32).astype(np.int64) for i in order]
+        self.of = np.unique([g["root"][i] for i in order], return_inverse=True)[1]  # the class of each node
+        self.words = [np.frombuffer(g["codes"][i], np.uint32) for i in order]
+        self.size = np.array([len(w) for w in self.words])
         # Words by hash bin: what two texts have in common can't exceed the sum of the lesser counts.
-        bins = np.stack([np.bincount(c & (BINS - 1), minlength=BINS) for c in codes]).astype(np.uint16)
-        size = np.array([len(c) for c in codes])
-        for i in range(1, len(nodes)):
-            longest = np.maximum(size[:i], size[i])
-            most = (longest * (1 - self.similarity) + 1e-9).astype(np.int64)
-            at = np.flatnonzero((of[:i] != of[i]) & ((side[:i] != side[i]) | (side[i] < 0)) & (np.abs(size[:i] - size[i]) <= most))
-            if not len(at):
-                continue
-            at = at[longest[at] - np.minimum(bins[at], bins[i]).sum(1, dtype=np.int64) <= most[at]]
-            for j in at.tolist():
-                if of[j] != of[i] and linked(codes[i], codes[j], self.similarity):
-                    a.append(nodes[i])
-                    b.append(nodes[j])
+        self.bins = np.stack([np.bincount(w & (BINS - 1), minlength=BINS) for w in self.words]).astype(np.uint16 if self.size.max() < 1 << 16 else np.uint32)
+        of_set: dict[int, list[int]] = {}
+        for at, i in enumerate(order):
+            for x in g["sets"][i]:
+                of_set.setdefault(x, []).append(at)
+        members = {x: np.array(m) for x, m in of_set.items()}
+        before, met = self.of.copy(), np.zeros(len(order), bool)
+        for at, i in enumerate(order):
+            for x in g["sets"][i]:
+                met[members[x]] = True
+            self._with(at, np.flatnonzero(met[:at] & (self.of[:at] != self.of[at])), side)
+            met[:] = False
+        out: dict[str, list] = {"a": [], "b": []}
+        least: dict[int, int] = {}
+        for i, k in enumerate(self.of.tolist()):
+            j = least.setdefault(k, i)
+            if before[i] != before[j]:
+                out["a"].append(nodes[i])
+                out["b"].append(nodes[j])
+        return out
+
+    def _with(self, i: int, to: np.ndarray, side: np.ndarray) -> None:
+        """Node ``i`` against the nodes ``to``."""
+        of, size = self.of, self.size
+        longest = np.maximum(size[to], size[i])
+        most = allowed(longest, self.similarity)
+        near = (np.abs(size[to] - size[i]) <= most) & ((side[to] != side[i]) | (side[to] < 0))
+        to, spare = to[near], (longest - most)[near]
+        own = None
+        for cut in range(0, len(to), FEW):  # a few at a time: one link settles a whole class
+            some, least = to[cut : cut + FEW], spare[cut : cut + FEW]
+            open_ = of[some] != of[i]
+            some, least = some[open_], least[open_]
+            some = some[np.minimum(self.bins[some], self.bins[i]).sum(1, dtype=np.int64) >= least]
+            for j in some.tolist():
+                if of[j] == of[i]:
+                    continue
+                own = places(self.words[i]) if own is None else own
+                if linked(self.words[i], self.words[j], self.similarity, own):
                     of[of == of[j]] = of[i]
-        return {"a": a, "b": b}
 
 
 def row_key():
@@ -249,12 +235,13 @@ def row_key():
     return F.md5(F.concat_ws("\x1f", *part)).alias("rkey")
 
 
-def _chunks(pairs: DataFrame, chunk: int) -> DataFrame:
-    """(gid, node): chunks of the nodes of a key; equal sets of nodes are one chunk."""
-    part = F.when(F.col("n") > chunk, F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("n") / chunk))).otherwise(F.lit(0)).alias("part")
+def _runs(pairs: DataFrame, block: int) -> DataFrame:
+    """(gid, node, sets): the sets of nodes of a key, or of a hot key's blocks, under their least node; equal sets are one."""
+    part = F.when(F.col("n") > block, F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("n") / block))).otherwise(F.lit(0)).alias("part")
     sets = pairs.groupBy("key", part).agg(F.sort_array(F.collect_list("node")).alias("nodes"))
     sets = sets.select("nodes").where("size(nodes) > 1").distinct()
-    return sets.select(F.xxhash64("nodes").alias("gid"), F.explode("nodes").alias("node"))
+    members = sets.select(F.col("nodes")[0].alias("gid"), F.xxhash64("nodes").alias("set"), F.explode("nodes").alias("node"))
+    return members.groupBy("gid", "node").agg(F.collect_list("set").alias("sets"))
 
 
 def _blocks(hot: DataFrame, similarity: float, block: int) -> DataFrame:
@@ -273,7 +260,7 @@ def _blocks(hot: DataFrame, similarity: float, block: int) -> DataFrame:
     near = (F.col("x.key") == F.col("y.key")) & F.expr("(x.band = y.band AND x.part <= y.part) OR x.band + 1 = y.band")
     open_ = F.least("x.low", "y.low") < F.greatest("x.high", "y.high")
     met = one.join(two, near & open_).select(
-        F.xxhash64("x.key", "x.band", "x.part", "y.band", "y.part").alias("gid"), F.col("x.key").alias("key"),
+        F.md5(F.concat_ws("/", "x.key", "x.band", "x.part", "y.band", "y.part")).alias("gid"), F.col("x.key").alias("key"),
         F.col("x.band").alias("band_x"), F.col("x.part").alias("part_x"), F.col("y.band").alias("band_y"), F.col("y.part").alias("part_y"),
     )
     alone = (F.col("band_x") == F.col("band_y")) & (F.col("part_x") == F.col("part_y"))
@@ -282,64 +269,60 @@ def _blocks(hot: DataFrame, similarity: float, block: int) -> DataFrame:
     return dealt.join(first.union(second), ["key", "band", "part"]).select("gid", "node", "side")
 
 
-def _linked(groups: DataFrame, codes: DataFrame, roots: DataFrame | None, similarity: float) -> DataFrame:
-    """(a, b): the verified links of the groups."""
-    rooted = groups.withColumn("root", F.col("node")) if roots is None else groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rows = rooted.join(codes, "node").select("gid", "node", "side", "root", "codes")
+def _linked(rows: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): the verified links of groups, given as (gid, node, sets, side, root)."""
+    rows = rows.join(words, "node").select("gid", "node", "sets", "side", "root", "codes")
     return lineage.cut(lineage.map_groups(rows, "gid", lambda: _Align(similarity), "a string, b string"))
 
 
-def links(docs: DataFrame, sketched: DataFrame, similarity: float = SIMILARITY, chunk: int = CHUNK, block: int = BLOCK) -> DataFrame:
-    """(a, b): enough verified links between nodes to connect every class.
-
-    The first FIRST sketches, hot ones in chunks, link most of what there is.  Of the others, and
-    of the blocks of all hot ones, only the groups whose nodes aren't all connected yet are gathered,
-    and in them only nodes that aren't are compared.
-    """
+def roots(docs: DataFrame, sketched: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """(node, root) of every node that is linked to another."""
     nodes = sketched.where("node IS NOT NULL").groupBy("node").agg(F.min("rkey").alias("rkey"), F.min("keys").alias("keys"), F.min("n_words").alias("n_words"))
-    pairs = nodes.select("node", "n_words", F.posexplode("keys").alias("i", "key"))
+    pairs = nodes.select("node", "rkey", "n_words", F.explode("keys").alias("key"))
     counts = pairs.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     pairs = lineage.cut(pairs.join(counts, "key"))
-    first = lineage.cut(_chunks(pairs.where(F.col("i") < FIRST), chunk))
-    rest = lineage.cut(_chunks(pairs.where((F.col("i") >= FIRST) & (F.col("n") <= chunk)), chunk))
-    hot = pairs.where(F.col("n") > chunk).select("key", "node", "n_words")
-    wanted = nodes.select("node", "rkey").join(pairs.select("node").distinct(), "node")
-    texts = docs.select(row_key(), "text").join(wanted, "rkey").dropDuplicates(["rkey"])
-    codes = lineage.cut(batches.map_rows(texts, ["node", batches.text_column()], _Codes, "node string, codes binary"))
-    found = _linked(first.withColumn("side", F.lit(-1)), codes, None, similarity)
-    roots = components(found)
-    root = F.coalesce("root", "node")
-    open_ = rest.join(roots, "node", "left").groupBy("gid").agg(F.min(root).alias("low"), F.max(root).alias("high")).where("low < high").select("gid")
-    groups = rest.join(open_, "gid").select("gid", "node", F.lit(-1).alias("side"))
-    blocks = _blocks(hot.join(roots, "node", "left").withColumn("root", root), similarity, block)
-    return found.union(_linked(groups.union(blocks), codes, roots, similarity))
-
-
-def classes(docs: DataFrame, similarity: float = SIMILARITY, chunk: int = CHUNK) -> DataFrame:
+    texts = docs.select(row_key(), "text").join(pairs.select("node", "rkey").distinct().hint("shuffle_hash"), "rkey")
+    words = lineage.cut(batches.map_rows(texts, ["node", batches.text_column()], _Codes, "node string, codes binary").dropDuplicates(["node"]))
+    found = _linked(_runs(pairs, block).withColumns({"side": F.lit(-1), "root": F.col("node")}), words, similarity)
+    linked_ = components(found)
+    hot = pairs.where(F.col("n") > block)
+    if hot.isEmpty():
+        lineage.drop(pairs, words)
+        return linked_
+    rooted = hot.join(linked_, "node", "left").select("key", "node", "n_words", F.coalesce("root", "node").alias("root"))
+    blocks = _blocks(rooted, similarity, block).join(rooted.select("node", "root").distinct(), "node")
+    more = _linked(blocks.withColumn("sets", F.array(F.lit(0).cast("long"))), words, similarity)
+    return components(found.union(more))
+
+
+def classes(docs: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """(rkey, doc_id, node, class_id, class_size, first): one row per input row.
 
     ``first`` marks the row of each class that a deduplication keeps (one of equal rows
     shares its rkey with the others).
     """
-    sketched = lineage.cut(
-        batches.map_rows(docs, [row_key(), "doc_id", batches.text_column()], _Sketch, "rkey string, doc_id long, node string, n_words int, keys array<long>")
-    )
-    roots = components(links(docs, sketched, similarity, chunk))
-    own = sketched.select("rkey", "doc_id", "node")
-    rooted = own.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node", F.concat(F.lit("row "), "rkey")))
-    per = rooted.groupBy("root").agg(
-        F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"),
-        F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "rkey"))["rkey"].alias("kept"),
-    )
-    return rooted.join(per, "root").select(
-        "rkey", "doc_id", "node", "class_id", "class_size", (F.col("rkey") == F.col("kept")).alias("first")
-    )
+    kind = "rkey string, doc_id long, node string, n_words int, keys array<long>"
+    sketched = lineage.cut(batches.map_rows(docs, [row_key(), "doc_id", batches.text_column()], _Sketch, kind))
+    linked_ = roots(docs, sketched, similarity, block)
+    # One row for each node (or row without words) before classes are put together.
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "rkey")).alias("least")
+    own = sketched.select("rkey", "doc_id", "node", F.coalesce("node", F.concat(F.lit("row "), "rkey")).alias("own"))
+    per_node = own.groupBy("own").agg(F.count(F.lit(1)).alias("n"), least)
+    per_node = per_node.join(linked_, per_node["own"] == linked_["node"], "left").withColumn("root", F.coalesce("root", "own"))
+    per = per_node.groupBy("root").agg(F.min("least").alias("least"), F.sum("n").alias("class_size"))
+    per_node = per_node.select("own", "root").join(per, "root").select("own", F.col("least.doc_id").alias("class_id"), F.col("least.rkey").alias("kept"), "class_size")
+    return own.join(per_node, "own").select("rkey", "doc_id", "node", "class_id", "class_size", (F.col("rkey") == F.col("kept")).alias("first"))
 
 
 def deduplicate(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One document of each class, with its own columns."""
-    kept = classes(docs, similarity).where("first").select("rkey").distinct()
-    return docs.withColumn("_k", row_key()).join(kept.withColumnRenamed("rkey", "_k"), "_k", "left_semi").dropDuplicates(["_k"]).drop("_k")
+    kept = lineage.cut(classes(docs, similarity).where("first").groupBy("rkey").agg(F.count(F.lit(1)).alias("n")))
+    rows = docs.select(row_key(), F.struct("*").alias("doc"))
+    out = rows.join(kept.where("n = 1").select("rkey").hint("shuffle_hash"), "rkey", "left_semi")
+    again = kept.where("n > 1").select("rkey")
+    if not again.isEmpty():  # rows that are there more than once, alike in all that is compared
+        out = out.union(rows.join(again, "rkey", "left_semi").groupBy("rkey").agg(F.min_by("doc", F.to_json("doc")).alias("doc")))
+    return out.select("doc.*")
 
 
 def op9_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,6 @@ repeat each other; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -252,15 +251,6 @@ class _Remove:
         return out | ({"kept": kept_bytes} if self.with_text else {})
 
 
-def _table(df: DataFrame) -> DataFrame:
-    """``df`` as a written table in the shared folder: smaller than a checkpoint, columns can be left out."""
-    spark = df.sparkSession
-    lineage.cut(spark.range(0))  # makes sure that there is a folder
-    path = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
 def substring_dedup(
     docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_bytes: int = HOT_BYTES, block: int = BLOCK_BYTES, with_text: bool = False
 ) -> DataFrame:
@@ -269,7 +259,7 @@ def substring_dedup(
     ids = [F.coalesce("doc_id", F.lit(-(2**63))).alias("did"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")]
     source = docs.select("doc_id", *ids, batches.text_column())
     kinds = "did long, th long, bucket array<long>, content array<long>, first array<int>, last array<int>, twice array<boolean>"
-    listed = _table(batches.map_rows(source, ["did", "th", "text"], lambda: _Segments(length, gram), kinds, 2 << 20))
+    listed = lineage.cut(batches.map_rows(source, ["did", "th", "text"], lambda: _Segments(length, gram), kinds, 2 << 20))
     each = listed.select("did", "th", F.explode(F.arrays_zip("bucket", "content", "first", "last", "twice")).alias("s")).select("did", "th", "s.*")
 
     equal = each.groupBy("bucket", "content").agg(
