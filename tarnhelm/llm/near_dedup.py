@@ -282,7 +282,7 @@ def roots(docs: DataFrame, sketched: DataFrame, similarity: float = SIMILARITY,
     counts = pairs.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     pairs = lineage.cut(pairs.join(counts, "key"))
     texts = docs.select(row_key(), "text").join(pairs.select("node", "rkey").distinct().hint("shuffle_hash"), "rkey")
-    words = lineage.cut(batches.map_rows(texts, ["node", batches.text_column()], _Codes, "node string, codes binary").dropDuplicates(["node"]))
+    words = lineage.cut(batches.map_rows(texts, ["node", batches.text_column()], _Codes, "node string, codes binary", 1 << 20).dropDuplicates(["node"]))
     found = _linked(_runs(pairs, block).withColumns({"side": F.lit(-1), "root": F.col("node")}), words, similarity)
     linked_ = components(found)
     hot = pairs.where(F.col("n") > block)
@@ -302,7 +302,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK)
     shares its rkey with the others).
     """
     kind = "rkey string, doc_id long, node string, n_words int, keys array<long>"
-    sketched = lineage.cut(batches.map_rows(docs, [row_key(), "doc_id", batches.text_column()], _Sketch, kind))
+    sketched = lineage.cut(batches.map_rows(docs, [row_key(), "doc_id", batches.text_column()], _Sketch, kind, 1 << 20))
     linked_ = roots(docs, sketched, similarity, block)
     # One row for each node (or row without words) before classes are put together.
     least = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "rkey")).alias("least")
