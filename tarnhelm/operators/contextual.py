@@ -8,6 +8,7 @@ structured findings and says so.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -66,10 +67,10 @@ def merge_tokens(tokens: DataFrame, text: Column | str = "text", *keys: str) ->
     """Tokens with offsets to entity spans: gaps and islands.
 
     An ``I-`` token of the same category joins the one before when only spaces, apostrophes or dashes
-    lie between (or when it starts before that one ends); the span takes the least score.
+    lie between (or when it starts before that one ends); the span takes the least score and its last token's end.
     """
     w = Window.partitionBy(*keys).orderBy("tok_idx")
-    category = F.regexp_replace("entity", "^[BI]-", "")
+    category = F.upper(F.regexp_replace("entity", "^[BI]-", ""))
     df = tokens.withColumn("category", category).withColumn("_inside", F.col("entity").startswith("I-"))
     df = df.withColumns({"_pc": F.lag("category").over(w), "_pe": F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))})
     gap = F.when(F.col("start") > F.lag("end").over(w), F.col(text).substr(F.lag("end").over(w) + 1, F.col("start") - F.lag("end").over(w))).otherwise(F.lit(""))
@@ -77,7 +78,7 @@ def merge_tokens(tokens: DataFrame, text: Column | str = "text", *keys: str) ->
     joins = F.col("_inside") & (F.col("_pc") == F.col("category")) & F.col("_gap").rlike("^[\\s'’-]*$")
     df = df.withColumn("_island", F.sum(F.when(joins, 0).otherwise(1)).over(w))
     return df.groupBy(*keys, "_island").agg(
-        F.first("category").alias("category"), F.min("score").alias("score"), F.min("start").alias("start"), F.max("end").alias("end")
+        F.first("category").alias("category"), F.min("score").alias("score"), F.min_by("start", "tok_idx").alias("start"), F.max_by("end", "tok_idx").alias("end")
     ).drop("_island")
 
 
@@ -98,22 +99,23 @@ def fold_case(text: str) -> tuple[str, list[int]]:
 
 
 def place_tokens(text: str, tokens: list[dict]) -> list[dict]:
-    """Offsets for tokens that lack them: the folded word from the last place on, else from the start, else none."""
+    """Offsets for tokens that lack them: the folded word from the last token's end on, else from the start, else none."""
     folded, at = fold_case(text)
     cursor, out = 0, []
     for t in tokens:
         start, end = t.get("start"), t.get("end")
         if start is None or end is None or not 0 <= start < end <= len(text):
-            word = re.sub(r"^[▁Ġ]+", "", re.sub(r"^##", "", t.get("word") or "")).strip().lower()
-            if not word or word == "[unk]":
+            word = re.sub(r"^[▁Ġ]+", "", re.sub(r"^##", "", t.get("word") or "")).strip()
+            if not word or word == "[UNK]":
                 continue
-            k = folded.find(word, cursor)
+            word = word.lower()
+            k = folded.find(word, bisect_left(at, cursor))
             if k < 0:
                 k = folded.find(word)
             if k < 0:
                 continue
             start, end = at[k], at[min(k + len(word), len(at) - 1)]
-            cursor = k + len(word)
+        cursor = end
         out.append({**t, "start": start, "end": end})
     return out
 
@@ -122,12 +124,13 @@ def merge_placed(text: str, tokens: list[dict]) -> list[dict]:
     """The sequential statement of :func:`merge_tokens`, for the classifier's own task."""
     out: list[dict] = []
     for t in place_tokens(text, tokens):
-        entity = t.get("entity") or t.get("entity_group") or ""
-        category = re.sub(r"^[BI]-", "", entity)
+        entity = t.get("entity_group")
+        entity = (t.get("entity") if entity is None else entity) or ""
+        category = re.sub(r"^[BI]-", "", entity).upper()
         last = out[-1] if out else None
         gap = text[last["end"] : t["start"]] if last else ""
         if last and entity.startswith("I-") and last["category"] == category and re.fullmatch(r"[\s'’-]*", gap):
-            last["end"], last["score"] = max(last["end"], t["end"]), min(last["score"], t["score"])
+            last["end"], last["score"] = t["end"], min(last["score"], t["score"])
         else:
             out.append({"category": category, "score": t["score"], "start": t["start"], "end": t["end"]})
     return out
@@ -136,28 +139,52 @@ def merge_placed(text: str, tokens: list[dict]) -> list[dict]:
 Classifier = Callable[[list[str]], list[list[dict]]]
 
 
+_FOUND = "doc_id long, start int, end int, category string, confidence double, source string, error string"
+
+
+def _classified(docs: DataFrame, make: Callable[[], Classifier]) -> DataFrame:
+    """The model's spans by chunks, and a row with an error for each text of a batch that the classifier failed on."""
+    parts = docs.select("doc_id", F.posexplode(chunks(F.col("text"))).alias("chunk_idx", "c")).select("doc_id", "c.offset", "c.text")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        classifier, broken = None, None
+        try:
+            classifier = make()
+        except Exception as e:  # a model that can't be loaded degrades the scan
+            broken = f"{type(e).__name__}: {e}"
+        for frame in frames:
+            rows, error = [], broken
+            if error is None:
+                try:
+                    found = classifier(frame["text"].tolist())
+                    for doc, offset, text, tokens in zip(frame["doc_id"], frame["offset"], frame["text"], found):
+                        for s in merge_placed(text, tokens):
+                            if s["score"] >= THRESHOLDS.get(s["category"], 2) and s["end"] > s["start"]:
+                                rows.append((doc, int(offset + s["start"]), int(offset + s["end"]), s["category"], float(s["score"]), "model", None))
+                except Exception as e:
+                    rows, error = [], f"{type(e).__name__}: {e}"
+            if error is not None:
+                rows = [(doc, None, None, None, None, None, error) for doc in frame["doc_id"].drop_duplicates()]
+            out = pd.DataFrame(rows, columns=["doc_id", "start", "end", "category", "confidence", "source", "error"])
+            yield out.astype({"start": "Int32", "end": "Int32", "confidence": "float64"})
+
+    return parts.mapInPandas(run, _FOUND)
+
+
 def classify(docs: DataFrame, make: Callable[[], Classifier] | None) -> DataFrame:
     """(doc_id, start, end, category, confidence, source) of the model's spans, by chunks.
 
-    ``make`` builds the classifier once a task.  ``None`` gives no rows (the degraded scan).
+    ``make`` builds the classifier once a task.  ``None`` gives no rows (the degraded scan); a batch
+    that the classifier fails on gives none either, see :func:`failures`.
     """
-    spark = docs.sparkSession
-    schema = "doc_id long, start int, end int, category string, confidence double, source string"
     if make is None:
-        return spark.createDataFrame([], schema)
-    parts = docs.select("doc_id", F.posexplode(chunks(F.col("text"))).alias("chunk_idx", "c")).select("doc_id", "c.offset", "c.text")
+        return docs.sparkSession.createDataFrame([], _FOUND).drop("error")
+    return _classified(docs, make).where("error IS NULL").drop("error")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        classifier = make()
-        for frame in frames:
-            rows = []
-            for doc, offset, text, tokens in zip(frame["doc_id"], frame["offset"], frame["text"], classifier(frame["text"].tolist())):
-                for s in merge_placed(text, tokens):
-                    if s["score"] >= THRESHOLDS.get(s["category"], 2) and s["end"] > s["start"]:
-                        rows.append((doc, int(offset + s["start"]), int(offset + s["end"]), s["category"], float(s["score"]), "model"))
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "end", "category", "confidence", "source"])
-
-    return parts.mapInPandas(run, schema)
+
+def failures(docs: DataFrame, make: Callable[[], Classifier]) -> DataFrame:
+    """(doc_id, error) of the texts in batches that the classifier failed on; their scan is structured only."""
+    return _classified(docs, make).where("error IS NOT NULL").select("doc_id", "error").distinct()
 
 
 def model_status(docs: DataFrame, available: bool, error: str | None = None) -> DataFrame:

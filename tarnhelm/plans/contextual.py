@@ -78,8 +78,8 @@ TOKENS = """
 SELECT CAST(l_orderkey AS BIGINT) AS doc_id, CAST(l_linenumber AS INT) AS tok_idx, CAST(6 * l_linenumber AS INT) AS start_at, CAST(6 * l_linenumber + 5 AS INT) AS end_at,
   concat(CASE CAST(l_partkey % 3 AS INT) WHEN 0 THEN 'B-' ELSE 'I-' END, CASE CAST(l_suppkey % 4 AS INT) WHEN 0 THEN 'LOCATION' WHEN 3 THEN 'DATE' ELSE 'PERSON' END) AS entity,
   CAST(70 + l_partkey % 30 AS DOUBLE) / CAST(100 AS DOUBLE) AS score,
-  concat('      ', 'aaaaa bbbbb-ccccc,ddddd eeeee ', 'fffff''ggggg ', 'hhhhh') AS text
-FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY l_orderkey, l_linenumber) WHERE l_linenumber < 7
+  concat('      ', 'aaaaa bbbbb-ccccc,ddddd eeeee ', 'fffff''ggggg ', 'hhhhh iiiii ', 'jjjjj') AS text
+FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY l_orderkey, l_linenumber)
 """
 _BIO = f"""
 t AS (SELECT *, regexp_replace(entity, '^[BI]-', '') AS category FROM ({TOKENS})),

@@ -55,7 +55,7 @@ _SEGMENTS = f"""SELECT CAST(l_orderkey AS BIGINT) AS doc_id, CAST(0 AS INT) AS p
   CASE WHEN pk % 11 = 0 THEN 'rtl' ELSE 'ltr' END AS dir, CAST(sk % 5 AS DOUBLE) AS ta, CAST(pk % 3 AS DOUBLE) * 4 AS tb, CAST(10 + pk % 500 AS DOUBLE) AS tx, CAST(20 + sk % 700 AS DOUBLE) AS ty,
   CAST(20 + pk % 100 AS DOUBLE) AS width, CAST(sk % 14 AS DOUBLE) AS height FROM ({_UNIQUE})"""
 _FOUND = f"""SELECT CAST(l_orderkey AS BIGINT) AS doc_id, CAST(0 AS INT) AS page_index, CAST(l_linenumber * 17 AS INT) AS start_at, CAST(l_linenumber * 17 + 8 + sk % 30 AS INT) AS end_at,
-  CASE WHEN pk % 2 = 0 THEN 'PERSON' ELSE 'US_SSN' END AS category, CAST(0.5 AS DOUBLE) AS confidence, 'model' AS source FROM ({_UNIQUE}) WHERE pk % 3 = 0"""
+  CASE WHEN pk % 2 = 0 THEN 'PERSON' ELSE 'US_SSN' END AS category, CAST(0.5 AS DOUBLE) AS confidence, 'model' AS source FROM ({_UNIQUE})"""
 _RECT = """least(fx1, fx2, fx3, fx4) - pad AS x0, least(fy1, fy2, fy3, fy4) - pad AS y0, greatest(fx1, fx2, fx3, fx4) + pad AS x1, greatest(fy1, fy2, fy3, fy4) + pad AS y1"""
 _POINTS = """SELECT *, tx + ux * width * f - uy * h * -0.22 AS fx1, tx + ux * width * f - uy * h * 0.9 AS fx2, tx + ux * width * t - uy * h * -0.22 AS fx3, tx + ux * width * t - uy * h * 0.9 AS fx4,
   ty + uy * width * f + ux * h * -0.22 AS fy1, ty + uy * width * f + ux * h * 0.9 AS fy2, ty + uy * width * t + ux * h * -0.22 AS fy3, ty + uy * width * t + ux * h * 0.9 AS fy4, greatest(0.5, h * 0.12) AS pad
@@ -115,7 +115,7 @@ def block_ids(spark, sf_dir):
 
 _BLOCKS = f"""SELECT CAST(sk AS BIGINT) AS doc_id, CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS seq, CAST(l_orderkey % 4 AS INT) AS page_index, CAST(pk % 60 * 10 AS DOUBLE) AS x0, CAST(l_orderkey % 70 * 10 AS DOUBLE) AS y0,
   CAST(pk % 60 * 10 + qty AS DOUBLE) AS x1, CAST(l_orderkey % 70 * 10 + pk % 20 AS DOUBLE) AS y1, l_linenumber = 1 AND pk % 50 = 0 AS existing, CAST(pk % 3 AS INT) AS label_rect_index,
-  CASE WHEN pk % 5 = 0 THEN NULL ELSE CAST(pk % 600 AS DOUBLE) END AS source_font_size FROM ({_UNIQUE}) WHERE l_orderkey % 10 = 0"""
+  CASE WHEN pk % 5 = 0 THEN NULL ELSE CAST(pk % 600 AS DOUBLE) END AS source_font_size FROM ({_UNIQUE})"""
 
 
 def blocks(spark, sf_dir):
@@ -302,11 +302,11 @@ def free_resource_name(spark, sf_dir):
     return O.free_name(used, "doc_id", F.col("name"))
 
 
-@query("text_removed", f"""WITH s AS (SELECT doc_id, seg_idx, tx AS x0, ty AS y0, tx + width AS x1, ty + height AS y1 FROM ({_SEGMENTS}) WHERE doc_id % 50 = 0)
+@query("text_removed", f"""WITH s AS (SELECT doc_id, seg_idx, tx AS x0, ty AS y0, tx + width AS x1, ty + height AS y1 FROM ({_SEGMENTS}))
 SELECT doc_id, seg_idx FROM s WHERE NOT EXISTS (SELECT 1 FROM ({_BLOCKS}) b WHERE b.doc_id = s.doc_id % 100 + 1 AND b.x1 > b.x0 AND greatest(0, least(s.x1, b.x1) - greatest(s.x0, b.x0)) * greatest(0, least(s.y1, b.y1) - greatest(s.y0, b.y0)) > 0)""")
 def text_removed(spark, sf_dir):
     rect = F.struct(F.col("tx").alias("x0"), F.col("ty").alias("y0"), (F.col("tx") + F.col("width")).alias("x1"), (F.col("ty") + F.col("height")).alias("y1"))
-    s = segments(spark, sf_dir).where("doc_id % 50 = 0").select((F.col("doc_id") % 100 + 1).alias("page_of"), "doc_id", "seg_idx", rect.alias("rect"))
+    s = segments(spark, sf_dir).select((F.col("doc_id") % 100 + 1).alias("page_of"), "doc_id", "seg_idx", rect.alias("rect"))
     b = blocks(spark, sf_dir).where("x1 > x0").select(F.col("doc_id").alias("page_of"), "rects")
     return O.remove_text(s, b, "page_of").select("doc_id", "seg_idx")
 

@@ -16,23 +16,25 @@ def one(spark, *cols):
 
 def test_preview(spark):
     scale = lambda w, h, r: one(spark, G.preview_scale(F.lit(w), F.lit(h), F.lit(r)))[0]
-    assert scale(612.0, 792.0, 2.0) == 2
-    s = scale(5100.0, 6600.0, 3.0)
-    assert s < 1 and 6600 * s <= 4096 and 5100 * 6600 * s * s <= 4_000_001
-    code, detail = G.failure_class(F.lit("RangeError"), F.lit("Canvas area exceeds the maximum limit"))
-    assert tuple(one(spark, code, detail)) == ("PREVIEW_CANVAS_LIMIT", "RangeError: Canvas area exceeds the maximum limit")
-    assert one(spark, G.failure_class(F.lit("Error"), F.lit("Invalid PDF operator"))[0])[0] == "PREVIEW_RENDER"
+    assert scale(300.0, 500.0, 1.5) == 1.5 and scale(300.0, 500.0, 7.0) == 2
+    for w, h in ((9000.0, 200.0), (3000.0, 3000.0), (200.0, 50_000.0)):
+        s = scale(w, h, 2.0)
+        assert max(w, h) * s <= 4096 + 1e-6 and w * h * s * s <= 4_000_001
+    code, detail = G.failure_class(F.lit("Error"), F.lit("the canvas area exceeds a limit"))
+    assert tuple(one(spark, code, detail)) == ("PREVIEW_CANVAS_LIMIT", "Error: the canvas area exceeds a limit")
+    assert one(spark, G.failure_class(F.lit("TypeError"), F.lit("no such font"))[0])[0] == "PREVIEW_RENDER"
 
 
 def test_rotated_text_is_tall(spark):
-    r = one(spark, G.range_rect(F.array(*map(F.lit, (0.0, 12.0, -12.0, 0.0, 120.0, 92.0))), F.lit(100.0), F.lit(12.0), F.lit("ltr"), F.lit(0.0), F.lit(1.0)).alias("r")).r
-    assert r.y1 - r.y0 > 4 * (r.x1 - r.x0)
+    turned = F.array(*map(F.lit, (0.0, 9.0, -9.0, 0.0, 40.0, 300.0)))
+    r = one(spark, G.range_rect(turned, F.lit(180.0), F.lit(9.0), F.lit("ltr"), F.lit(0.25), F.lit(0.75)).alias("r")).r
+    assert r.y1 - r.y0 > 90 > 3 * (r.x1 - r.x0)
 
 
 def test_measured_fraction(spark):
-    widths = F.create_map(F.lit("W"), F.lit(20.0), F.lit("i"), F.lit(0.2))
-    f = one(spark, G.measured_fraction(F.lit("Wiii"), F.lit(1), widths))[0]
-    assert math.isclose(f, 20 / 20.6)
+    widths = F.create_map(F.lit("m"), F.lit(9.0), F.lit("l"), F.lit(3.0))
+    fractions = [one(spark, G.measured_fraction(F.lit("mllm"), F.lit(i), widths))[0] for i in range(5)]
+    assert all(math.isclose(f, w / 24) for f, w in zip(fractions, (0, 9, 12, 15, 24)))
 
 
 def test_page_text(spark):
@@ -43,10 +45,10 @@ def test_page_text(spark):
 
 
 def test_suggestions(spark):
-    rows = [(1, 0, True, "manual", 0, 10.0), (1, 1, False, "candidate", 0, 100.0), (1, 2, False, "double", 0, 102.0), (1, 3, False, "other page", 1, 100.0)]
+    rows = [(4, 0, True, "kept", 2, 30.0), (4, 1, False, "new", 2, 300.0), (4, 2, False, "nearly the same", 2, 305.0), (4, 3, False, "elsewhere", 3, 300.0)]
     df = spark.createDataFrame(rows, "doc_id long, seq int, existing boolean, id string, page_index int, x double")
-    df = df.withColumn("rects", F.array(F.struct(F.col("x").alias("x0"), F.lit(0.0).alias("y0"), (F.col("x") + 50).alias("x1"), F.lit(10.0).alias("y1"))))
-    assert sorted((r.id, r.added) for r in B.merge_suggestions(df, "doc_id").collect()) == [("candidate", True), ("manual", False), ("other page", True)]
+    df = df.withColumn("rects", F.array(F.struct(F.col("x").alias("x0"), F.lit(5.0).alias("y0"), (F.col("x") + 80).alias("x1"), F.lit(25.0).alias("y1"))))
+    assert sorted((r.id, r.added) for r in B.merge_suggestions(df, "doc_id").collect()) == [("elsewhere", True), ("kept", False), ("new", True)]
     assert B.merge_suggestions(df, "doc_id", cap=2).count() == 2
 
 

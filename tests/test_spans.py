@@ -61,15 +61,16 @@ def test_coalesce_and_suppress(spark):
 
 
 def test_propagation(spark):
-    text = "Jane Doe filed once. Jane Doe filed twice. Jane Doe. xJane Doe Jane Does"
-    f = F.expr("array(named_struct('start', 0, 'end', 8, 'category', 'PERSON', 'confidence', 0.9D, 'source', 'model'), named_struct('start', 9, 'end', 11, 'category', 'PERSON', 'confidence', 0.9D, 'source', 'model'))")
+    text = "Ira Low met Bo. xIra Low, Ira Lows and Bo. (Ira Low)"
+    f = F.expr("array(named_struct('start', 0, 'end', 7, 'category', 'PERSON', 'confidence', 0.9D, 'source', 'model'), named_struct('start', 12, 'end', 14, 'category', 'PERSON', 'confidence', 0.9D, 'source', 'model'))")
     row = spark.createDataFrame([(text,)], "text string").select(S.propagate(F.col("text"), f).alias("x")).first()
-    assert sorted((x.start, x.end) for x in row.x) == [(0, 8), (9, 11), (21, 29), (43, 51)]
+    again = text.index("(Ira Low)") + 1
+    assert sorted((x.start, x.end) for x in row.x) == [(0, 7), (12, 14), (again, again + 7)]
 
 
 def test_chunks_tile_the_text(spark):
     rng = random.Random(1)
-    texts = ["word " * 250 + "Jane Doe", "x" * 2000, "", "a\nb " * 300] + ["".join(rng.choice("ab \n") for _ in range(rng.randint(1, 1500))) for _ in range(40)]
+    texts = ["ab cde " * 200 + "end", "x" * 2000, "", "a\nb " * 300] + ["".join(rng.choice("ab \n") for _ in range(rng.randint(1, 1500))) for _ in range(40)]
     df = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
     for r in df.select("text", C.chunks(F.col("text")).alias("c")).collect():
         want, at, n = [], 0, len(r.text)
@@ -85,16 +86,39 @@ def test_chunks_tile_the_text(spark):
 
 
 def test_tokens_without_offsets():
-    spans = C.merge_placed("Jane Doe lives in Brooklyn.", [{"entity": "B-PERSON", "score": 0.9, "word": "jane"}, {"entity": "I-PERSON", "score": 0.8, "word": "doe"}, {"entity": "B-LOCATION", "score": 0.9, "word": "brooklyn"}])
-    assert [(s["category"], s["start"], s["end"], s["score"]) for s in spans] == [("PERSON", 0, 8, 0.8), ("LOCATION", 18, 26, 0.9)]
-    assert [(s["start"], s["end"]) for s in C.merge_placed("İ Jane", [{"entity": "B-PERSON", "score": 0.9, "word": "jane"}])] == [(2, 6)]
-    assert C.merge_placed("Jane", [{"entity": "B-PERSON", "score": 0.9, "word": "[UNK]"}, {"entity": "B-PERSON", "score": 0.9, "word": "bob"}]) == []
+    tag = lambda e, w, p=0.9, **more: {"entity": e, "word": w, "score": p, **more}
+    spans = C.merge_placed("In Oslo Kari Nordmann sang.", [tag("B-LOCATION", "oslo"), tag("B-person", "▁kari"), tag("I-Person", "##nordmann", 0.7)])
+    assert [(s["category"], s["start"], s["end"], s["score"]) for s in spans] == [("LOCATION", 3, 7, 0.9), ("PERSON", 8, 21, 0.7)]
+    assert [(s["start"], s["end"]) for s in C.merge_placed("İİ ole", [tag("B-PERSON", "ole")])] == [(3, 6)]
+    assert C.merge_placed("Kari", [tag("B-PERSON", "[UNK]"), tag("B-PERSON", "per"), tag("B-PERSON", "##")]) == []
+
+
+def test_the_search_goes_on_behind_every_token():
+    tokens = [{"entity": "B-PERSON", "word": "moe", "score": 0.9, "start": 4, "end": 7}, {"entity": "B-PERSON", "word": "ada", "score": 0.9}]
+    assert [(s["start"], s["end"]) for s in C.merge_placed("ada moe ada", tokens)] == [(4, 7), (8, 11)]
+    both = [{"entity": "B-LOCATION", "entity_group": "PERSON", "word": "ada", "score": 0.9}]
+    assert C.merge_placed("ada", both)[0]["category"] == "PERSON"
+    inside = [{"entity": "B-PERSON", "score": 0.9, "start": 0, "end": 9}, {"entity": "I-PERSON", "score": 0.9, "start": 2, "end": 5}]
+    assert [(s["start"], s["end"]) for s in C.merge_placed("adamantine", inside)] == [(0, 5)]
 
 
 def test_recognizer_beats_model_and_chunk_overlap(spark):
-    rows = [(1, 0, 0, 20, "PERSON", 0.91, "model"), (1, 1, 0, 20, "EMAIL_ADDRESS", 0.99, "recognizer"), (2, 0, 100, 112, "PERSON", 0.91, "model"), (2, 1, 106, 119, "PERSON", 0.93, "model")]
+    rows = [(7, 0, 5, 30, "PERSON", 0.97, "model"), (7, 1, 5, 30, "IBAN_CODE", 0.5, "recognizer"), (8, 0, 40, 55, "LOCATION", 0.85, "model"), (8, 1, 50, 61, "LOCATION", 0.84, "model")]
     got = S.suppress(S.coalesce(spark.createDataFrame(rows, SCHEMA), "doc_id"), "doc_id").collect()
-    assert sorted((r.doc_id, r.start, r.end, r.category, r.confidence) for r in got) == [(1, 0, 20, "EMAIL_ADDRESS", 0.99), (2, 100, 119, "PERSON", 0.93)]
+    assert sorted((r.doc_id, r.start, r.end, r.category, r.confidence) for r in got) == [(7, 5, 30, "IBAN_CODE", 0.5), (8, 40, 61, "LOCATION", 0.85)]
+
+
+def test_failing_classifier_degrades_the_scan(spark):
+    def fails(texts):
+        raise RuntimeError("no memory")
+
+    def unloadable():
+        raise OSError("no weights")
+
+    docs = spark.createDataFrame([(1, "met Jane Doe there"), (2, None)], "doc_id long, text string")
+    for make, error in ((lambda: fails, "RuntimeError: no memory"), (unloadable, "OSError: no weights")):
+        assert C.classify(docs, make).count() == 0
+        assert [tuple(r) for r in C.failures(docs, make).collect()] == [(1, error)]
 
 
 def test_classifier_and_degraded_scan(spark):
