@@ -35,7 +35,8 @@ _CITY = "[A-Z][A-Z.'-]{1,20}"
 _ACCOUNT = (
     f"{_BEFORE}{any_of(['account', 'acct', 'routing'])}{WS}*(?:{any_case('number')}|{any_case('no')}\\.?|#)?{WS}*[:#-]?{WS}*([0-9][0-9 -]{{3,20}}[0-9]){_AFTER}"
 )
-_UNIT = f"{_BEFORE}{any_of(['APT', 'APARTMENT', 'UNIT', 'SUITE', 'STE'])}{WS}+[#{LETTER_I}0-9-]{{1,10}}{_BI}"
+_UNIT_WORD = any_of(["APT", "APARTMENT", "UNIT", "SUITE", "STE"])
+_UNIT = f"{_BEFORE}{_UNIT_WORD}{WS}+[#{LETTER_I}0-9-]{{1,10}}{_BI}"
 
 
 @dataclass(frozen=True)
@@ -52,15 +53,15 @@ class Recognizer:
 
 
 RECOGNIZERS: dict[str, Recognizer] = {
-    "account": Recognizer("ACCOUNT_NUMBER", 0.96, _ACCOUNT, lambda v: checks.digit_count_between(v, 4, 17), _ACCOUNT, 1),
+    "account": Recognizer("ACCOUNT_NUMBER", 0.96, _ACCOUNT, lambda v: checks.digit_count_between(v, 4, 17), "[0-9][0-9 -]{3,20}[0-9]", 1),
     "email": Recognizer("EMAIL_ADDRESS", 0.99, f"{_BI}[{LETTER_I}0-9._%+-]+@[{LETTER_I}0-9.-]+\\.[{LETTER_I}]{{2,}}{_BI}", needs="@"),
-    "ssn": Recognizer("US_SSN", 0.99, f"{_B}[0-9]{{3}}[- ]?[0-9]{{2}}[- ]?[0-9]{{4}}{_B}", checks.ssn_valid, "[0-9]{4}"),
+    "ssn": Recognizer("US_SSN", 0.99, f"{_B}[0-9]{{3}}[- ]?[0-9]{{2}}[- ]?[0-9]{{4}}{_B}", checks.ssn_valid, "[0-9]{3}[- ]?[0-9]{2}[- ]?[0-9]{4}"),
     "ssn_masked": Recognizer("US_SSN", 0.96, f"{_BI}(?:[Xx]{{2,3}}|\\*{{2,3}})[- ]?(?:[Xx]{{2}}|\\*{{2}})[- ]?[0-9]{{3,4}}{_BI}", needs="[Xx*]{2}[- ]?[0-9]{3}"),
     "tax_id": Recognizer("US_TAX_ID", 0.98, "(?<![0-9])[0-9]{2}-[0-9]{7}(?![0-9])", needs="-[0-9]{7}"),
     "street": Recognizer(
-        "STREET_ADDRESS", 0.97, f"{_BI}[0-9]{{1,6}}{WS}+(?:[{LETTER_I}0-9][{LETTER_I}0-9.'-]*{WS}+){{1,5}}{any_of(STREET_SUFFIXES)}{_BI}", needs="[0-9]",
+        "STREET_ADDRESS", 0.97, f"{_BI}[0-9]{{1,6}}{WS}+(?:[{LETTER_I}0-9][{LETTER_I}0-9.'-]*{WS}+){{1,5}}{any_of(STREET_SUFFIXES)}{_BI}", needs=f"[0-9]{WS}+[{LETTER_I}0-9]",
     ),
-    "unit": Recognizer("ADDRESS_UNIT", 0.96, _UNIT, needs=_UNIT),
+    "unit": Recognizer("ADDRESS_UNIT", 0.96, _UNIT, needs=f"{_UNIT_WORD}{WS}"),
     "city": Recognizer(
         "CITY_STATE_ZIP", 0.97, f"{_B}{_CITY}(?:{WS}+{_CITY}){{0,2}},?{WS}+{any_of(STATES, False)}{WS}+[0-9]{{5}}(?:-[0-9]{{4}})?{_B}", needs=f"[A-Z]{{2}}{WS}+[0-9]{{5}}",
     ),
@@ -99,7 +100,7 @@ def findings_of(text: Column, name: str) -> Column:
 def _account_findings(text: Column, place: int, r: Recognizer) -> Column:
     """Account numbers; after the word ``routing`` only valid routing numbers, under their own category."""
     plain = match_spans(text, r.pattern, 1, r.needs)
-    whole = F.regexp_extract_all(text, F.lit(r.pattern), F.lit(0))
+    whole = F.when(text.rlike(r.needs), F.regexp_extract_all(text, F.lit(r.pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
     routing = F.transform(whole, lambda m: m.rlike("(?iu)routing"))
     both = F.zip_with(plain, routing, lambda s, k: F.struct(s.alias("s"), k.alias("routing")))
     ok = F.filter(both, lambda x: r.valid(x["s"]["value"]) & (~x["routing"] | checks.aba_valid(x["s"]["value"])))

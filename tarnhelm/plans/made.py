@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnhelm.plans.registry import table
+from tarnhelm.plans.registry import spread, table
 
 #: (doc_id, text) from ``customer``: one kind of identifier for each remainder of the key.
 PII_TEXT = """
@@ -44,4 +44,4 @@ def made(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFrame:
 
 
 def pii_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return made(spark, sf_dir, PII_TEXT, "customer")
+    return spread(made(spark, sf_dir, PII_TEXT, "customer"))
