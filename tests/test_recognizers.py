@@ -11,13 +11,13 @@ CASES = [
     ("Paid by 5555-5555-5555-4444 twice, never by 5555-5555-5555-4445.", [("CREDIT_CARD", "5555-5555-5555-4444")]),
     ("Not numbers of a person: 000-45-6789, 666-45-6789, 912-45-6789, 123-00-6789.", []),
     ("Deliver to 14 Old Mill Road, unit 7B, AUSTIN, TX 78701 please.", [("STREET_ADDRESS", "14 Old Mill Road"), ("ADDRESS_UNIT", "unit 7B"), ("CITY_STATE_ZIP", "AUSTIN, TX 78701")]),
-    ("Employer 12-3456789 keeps ***-**-4321 on file.", [("US_TAX_ID", "12-3456789"), ("US_SSN", "***-**-4321")]),
+    ("Employer 12-3456789 keeps Q***-**-4321 on file, ***-**-4321 without a letter before it isn't.", [("US_TAX_ID", "12-3456789"), ("US_SSN", "***-**-4321")]),
     ("Chapter 12, 1999-2003, sums 12.50 and 3,400, code 90210.", []),
     ("Routing 011000015 is good, routing 011000016 isn't.", [("US_BANK_NUMBER", "011000015")]),
     ("Overseas: +49 30 1234 5678 but not +12 3456 7890 1234 5678.", [("PHONE_NUMBER", "+49 30 1234 5678")]),
     ("DE89370400440532013000 is one, DE88370400440532013000 and QQ89370400440532013000 are none.", [("IBAN_CODE", "DE89370400440532013000")]),
     ("acct no: 1200 3400 5600, ticket 77889.", [("ACCOUNT_NUMBER", "1200 3400 5600")]),
-    ("ñrosa@y.net xx-xx-777 Z***-**-1234", [("EMAIL_ADDRESS", "rosa@y.net"), ("US_SSN", "xx-xx-777")]),
+    ("ñrosa@y.net xx-xx-777 Z***-**-1234", [("EMAIL_ADDRESS", "rosa@y.net"), ("US_SSN", "xx-xx-777"), ("US_SSN", "***-**-1234")]),
     ("", []),
     (None, []),
 ]
