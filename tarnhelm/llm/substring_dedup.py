@@ -303,4 +303,6 @@ def substring_dedup(
 
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    return substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("spans")
+    got = substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("spans")
+    share = F.when(F.col("n_bytes") > 0, F.col("n_removed") / F.col("n_bytes")).otherwise(F.lit(0.0))
+    return got.withColumns({"has_repeats": F.col("n_removed") > 0, "removed_share": share})
