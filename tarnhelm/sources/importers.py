@@ -9,7 +9,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from html.parser import HTMLParser
 from xml.etree import ElementTree
@@ -147,7 +147,7 @@ class _Tree(HTMLParser):
                 return
 
     def handle_data(self, data):
-        self.stack[-1]["children"].append(data)
+        self.stack[-1]["children"].append(data.replace(_AMPERSAND, "&"))
 
 
 _SPACE = re.compile("[\\t-\\r    -     　﻿]+")
@@ -175,13 +175,22 @@ def _descend(node, tag: str) -> Iterator[dict]:
         yield from _descend(c, tag)
 
 
-def markup_blocks(html: str) -> list[tuple[str, str]]:
+#: Stands for an ampersand that begins no reference: no text from a table holds a lone surrogate.
+_AMPERSAND = "\ud800"
+
+
+def markup_blocks(html: str, references: Sequence[str] | None = None) -> list[tuple[str, str]]:
     """Headings, paragraphs, list items, table rows and images in document order.
 
     Text outside of such elements has no block of its own; a nested list is part of its item.
+    Character references are read as browsers do, also where a cut text lacks their semicolon;
+    with ``references`` only those names are, and only with it.
     """
+    html = html or ""
+    if references is not None:
+        html = re.sub(f"&(?!(?:{'|'.join(map(re.escape, references))});)", _AMPERSAND, html)
     parser = _Tree()
-    parser.feed(html or "")
+    parser.feed(html)
     parser.close()
     out: list[tuple[str, str]] = []
     todo = list(_elements(parser.root))[::-1]
@@ -206,13 +215,13 @@ def markup_blocks(html: str) -> list[tuple[str, str]]:
     return out
 
 
-def html_blocks(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """One row per block of each page."""
+def html_blocks(pages: DataFrame, key: str, html: str, references: Sequence[str] | None = None) -> DataFrame:
+    """One row per block of each page; ``references`` as in :func:`markup_blocks`."""
     kind = pages.schema[key].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(k, i, b[0], b[1]) for k, h in zip(frame[key], frame[html]) for i, b in enumerate(markup_blocks(h))]
+            rows = [(k, i, b[0], b[1]) for k, h in zip(frame[key], frame[html]) for i, b in enumerate(markup_blocks(h, references))]
             yield pd.DataFrame(rows, columns=[key, "block_idx", "kind", "text"])
 
     return pages.select(key, html).mapInPandas(run, f"{key} {kind}, {BLOCKS}")

@@ -1,6 +1,7 @@
 import io
 import zipfile
 
+import duckdb
 from pyspark.sql import functions as F
 
 from tarnhelm.sources import importers as I
@@ -15,6 +16,21 @@ def test_markup():
     assert I.markup_blocks("") == [] and I.markup_blocks(None) == []
 
 
+def test_cut_references_stay_as_in_the_sql(spark, tmp_path):
+    from tarnhelm.plans import all_plans
+
+    heads = ["x &amp; y&amp;&amp", "a&lt", "a &lt;b&gt; &amp;amp; &#x27;&#x2", "&quot", "&nbsp;&eacute;", "<b>c</b> &am"]
+    html = "".join(f"<h1>{h}</h1><ul><li>{h}</li></ul>" for h in heads)
+    spark.createDataFrame([(1, html)], "page_id long, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    plans = all_plans()
+    for name in ("html_headings", "html_list_items"):
+        got = [tuple(r) for r in plans.queries[name](spark, str(tmp_path)).collect()]
+        assert sorted(got) == sorted(con.execute(plans.oracles[name]).fetchall()) and len(got) == len(heads)
+    assert I.markup_blocks("<h1>a&amp</h1>") == [("title", "a&")]
+
+
 def _docx(xml):
     data = io.BytesIO()
     with zipfile.ZipFile(data, "w") as z:
