@@ -1,11 +1,11 @@
-"""Bounded samples of labelled rows for fitting on the driver."""
+"""Labelled rows for fitting: bounded samples on the driver, or all of them by their measured shapes."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Documented bound: a classifier is fitted on at most so many labelled rows.
+#: Documented bound of :func:`labelled`.
 MOST_LABELLED = 12_000
 
 
@@ -30,3 +30,12 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int = MOST_LA
         .limit(most)
     )
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label")
+
+
+def all_labelled(measured: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """``measured`` (doc_id and what was measured of each document) with the label of every labelled row that isn't held out.
+
+    Only measurements meet the labels, so no text is shuffled and nothing is bounded.
+    """
+    ids = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+    return measured.join(ids, "doc_id")

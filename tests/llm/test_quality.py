@@ -90,3 +90,29 @@ def test_sample_is_bounded(spark, documents):
     rows, marks = corpus(100)
     marked = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
     assert samples.labelled(documents(rows), marked, "quality", 10).count() == 10
+
+
+def many():
+    """More labelled rows that aren't held out than the former bound of 12 000."""
+    rows, marks = corpus(1500)
+    rows = [(i, rows[i % 1500][1] + " more" * (i // 1500)) for i in range(19_500)]
+    return rows, [(i, marks[i % 1500][1], 0) for i in range(19_500)]
+
+
+def test_all_labelled_rows_count(spark, documents):
+    rows, marks = many()
+    docs, marked = documents(rows), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    forest = quality_rules.fit(docs, marked, clean_loss=0.05)
+    x, good = [], []
+    for i, text in rows:
+        counts = stats.rule_counts(text)
+        if zlib.crc32(str(i).encode()) % 3 != 1 and not quality_rules.failed(counts[1], counts[5]):
+            x.append(stats.shape(text, counts))
+            good.append(marks[i][1] == 1)
+    path, good = forest.forest.mean_path(np.array(x)[:, quality_rules._AT].astype(np.float32)), np.array(good)
+    assert len(path) > 12_000
+    ok, bad = np.sort(path[good]), path[~good]
+    highest = ok[int(len(ok) * 0.05)]
+    assert forest.cut == min(highest, np.nextafter(bad[bad < highest].max(), np.inf))
+    again = quality_rules.fit(docs.repartition(7), marked, clean_loss=0.05)
+    assert again.cut == forest.cut and (again.forest.cut == forest.forest.cut).all()
