@@ -116,3 +116,21 @@ def test_all_labelled_rows_count(spark, documents):
     assert forest.cut == min(highest, np.nextafter(bad[bad < highest].max(), np.inf))
     again = quality_rules.fit(docs.repartition(7), marked, clean_loss=0.05)
     assert again.cut == forest.cut and (again.forest.cut == forest.forest.cut).all()
+
+
+def test_ranking_from_all_rows_and_pairs(spark, documents):
+    rows, marks = many()
+    docs, marked = documents(rows), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    ranker = quality_rank.fit(docs, marked)
+    assert ranker.rows == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i, _ in rows) > 12_000
+    got = quality_rank.rank(docs, ranker).collect()
+    assert np.mean([r.predicted == marks[r.doc_id][1] for r in got if r.held_out]) >= 0.95
+    # The gradient over all pairs of a few rows vanishes at the fitted weights.
+    few, labels = docs.where("doc_id < 120"), marked.where("doc_id < 120")
+    ranker = quality_rank.fit(few, labels)
+    learnt = [i for i in range(120) if zlib.crc32(str(i).encode()) % 3 != 1]
+    f = ranker.features(np.array([quality_rank.measure(rows[i][1]) for i in learnt]))
+    good = np.array([marks[i][1] == 1 for i in learnt])
+    d = (f[good][:, None] - f[~good][None]).reshape(-1, f.shape[1])
+    g = -(d / (1 + np.exp(d @ ranker.w))[:, None]).mean(0) + quality_rank.L2 * ranker.w
+    assert np.abs(g).max() < 2e-3
