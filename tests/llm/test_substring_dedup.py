@@ -1,6 +1,7 @@
 import collections
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -73,3 +74,44 @@ def test_long_periodic_text_and_empty_table(documents):
     got = {r.doc_id: (r.n_removed, r.n_spans) for r in m.substring_dedup(documents(docs)).collect()}
     assert got == {1: (80_000, 1), 2: (0, 0), 3: (0, 0), 4: (401, 1)}
     assert m.substring_dedup(documents(docs).limit(0)).count() == 0
+
+
+def brute_words(docs, words):
+    split = [[w for w in re.split("[\x20\x09-\x0d]+", t or "") if w] for _, t in docs]
+    count = collections.Counter(tuple(w[p : p + words]) for w in split for p in range(len(w) - words + 1))
+    out = []
+    for (d, _), w in zip(docs, split):
+        covered = np.zeros(len(w), bool)
+        for p in range(len(w) - words + 1):
+            if count[tuple(w[p : p + words])] > 1:
+                covered[p : p + words] = True
+        out.append((d, int(covered.sum()), ",".join(f"{a}:{b + 1}" for a, b in m.runs(covered))))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("hot", [1 << 20, 200])
+def test_words_against_brute_force(documents, hot):
+    rng = random.Random(7)
+    docs = corpus()
+    base = [rng.choice("ab é x the of".split(" ")) for _ in range(90)]
+    for i in range(60):
+        a = rng.randint(0, 70)
+        own = [rng.choice("abcdefgh") + rng.choice("stuv") for _ in range(rng.randint(0, 12))]
+        docs.append((100 + i, rng.choice([" ", "\n", " \t"]).join(own + base[a : a + rng.randint(0, 20)] + own[:3] + ["z"] * rng.randint(0, 14))))
+    got = m.substring_dedup(documents(docs), length=24, gram=8, hot_bytes=hot, block=2000, words=6, word_gram=2)
+    rows = got.collect()
+    assert sorted([(r.doc_id, r.n_repeat_words, r.word_spans) for r in rows], key=str) == brute_words(docs, 6)
+    assert sorted([tuple(r)[:5] for r in rows], key=str) == brute(docs, 24)
+
+
+def test_repeated_passage_of_under_400_bytes(spark, tmp_path):
+    passage = " ".join(f"w{i:03}" for i in range(52))
+    assert len(passage) < m.LENGTH
+    rng = random.Random(3)
+    rest = [" ".join(str(rng.random()) for _ in range(80)) for _ in range(4)]
+    texts = [f"{rest[0]} {passage} {rest[1]}", passage.replace(" ", "\n"), rest[2], rest[3] + " " + passage[: len(passage) // 2], None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in m.op4_substring_dedup(spark, str(tmp_path)).collect()}
+    assert {d: (r.n_removed, r.n_repeat_words, r.has_repeated_passage) for d, r in got.items()} == {
+        0: (0, 52, True), 1: (0, 52, True), 2: (0, 0, False), 3: (0, 0, False), 4: (0, 0, False)
+    }
