@@ -326,15 +326,19 @@ def substring_dedup(
     kinds = "did long, th long, bucket array<long>, content array<long>, first array<int>, last array<int>, twice array<boolean>"
     listed = lineage.cut(batches.map_rows(source, ["did", "th", "text"], lambda: _Segments(units), kinds, 2 << 20))
     each = listed.select("did", "th", F.explode(F.arrays_zip("bucket", "content", "first", "last", "twice")).alias("s")).select("did", "th", "s.*")
+    # Most buckets hold one segment and no least gram twice: they go before anything wider moves.
+    busy = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.max("twice").alias("t")).where("m > 1 OR t").select("bucket")
+    live = lineage.cut(each.join(busy, "bucket", "left_semi"))
+    lineage.drop(listed)
 
-    equal = each.groupBy("bucket", "content").agg(
+    equal = live.groupBy("bucket", "content").agg(
         F.count(F.lit(1)).alias("n"), F.max("twice").alias("twice"), F.min(F.struct("did", "th", "first", "last")).alias("one")
     )
     span = F.col("one.last") - F.col("one.first")
     size = F.when(kind == 0, span + length).otherwise((span + (words or 0)) * 8)
     per = equal.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least"), F.max("twice").alias("any_twice"), F.sum(size).alias("bytes")
-    ).where("kinds > 1 OR any_twice OR least > 1").withColumnRenamed("bucket", "b")
+    ).withColumnRenamed("bucket", "b")
     found = lineage.cut(
         equal.join(per, equal["bucket"] == per["b"]).where("n > 1 OR kinds > 1 OR twice")
         .select(
@@ -344,7 +348,7 @@ def substring_dedup(
         )
     )
 
-    copies = each.join(found.where("n > 1").select("bucket", "content"), ["bucket", "content"]).select("did", "th", kind, "first", "last")
+    copies = live.join(found.where("n > 1").select("bucket", "content"), ["bucket", "content"]).select("did", "th", kind, "first", "last")
     wanted = found.where("sort").groupBy("did", "th").agg(F.collect_list(F.struct("bucket", "first", "last", "n", "hot")).alias("wanted"))
     dealt = source.repartition("did", "th")  # the text moves once and serves both joins
     held = dealt.select("did", "th", "text").dropDuplicates(["did", "th"]).join(wanted, ["did", "th"])
